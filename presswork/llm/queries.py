@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from presswork.llm.common import read_table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswork.llm.substring_dedup import substring_report
+
+    return substring_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from presswork.llm.mixing import mixing_report
 
@@ -27,11 +33,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswork.llm.suffix_dedup import suffix_report
+
+    return suffix_report(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_weighted_mix, op7_decontaminate, op8_language_id)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_weighted_mix, op7_decontaminate, op8_language_id, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     from presswork.llm.mixing import MIXING_SQL
+    from presswork.llm.substring_dedup import SUBSTRING_SQL
 
-    return {"op3_weighted_mix": MIXING_SQL}
+    return {"op2_substring_dedup": SUBSTRING_SQL, "op3_weighted_mix": MIXING_SQL}
