@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from presswork.llm.common import read_table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswork.llm.secrets import secrets_report
+
+    return secrets_report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from presswork.llm.substring_dedup import substring_report
 
@@ -21,6 +27,12 @@ def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswork.llm.licenses import license_report
+
+    return license_report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from presswork.llm.decontaminate import contamination_report
 
@@ -39,8 +51,14 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswork.llm.pii import pii_report
+
+    return pii_report(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_weighted_mix, op7_decontaminate, op8_language_id, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_weighted_mix, op6_license_scan, op7_decontaminate, op8_language_id, op9_suffix_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
