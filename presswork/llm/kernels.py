@@ -57,15 +57,15 @@ def views(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with about ``limit`` bytes of text, one row at least."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``limit`` bytes of text, one row at least and ``rows`` at most."""
     text = batch.column(column)
     size = np.asarray(pc.fill_null(pc.binary_length(text), 0)).astype(np.int64)
     ends = np.cumsum(size)
     at = 0
     while at < len(size):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + limit, "right"))))
         yield batch.slice(at, to - at)
         at = to
 

@@ -27,6 +27,12 @@ def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswork.llm.ngram_join import ngram_report
+
+    return ngram_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from presswork.llm.licenses import license_report
 
@@ -58,11 +64,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_weighted_mix, op6_license_scan, op7_decontaminate, op8_language_id, op9_suffix_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_weighted_mix, op5_ngram_join, op6_license_scan, op7_decontaminate, op8_language_id, op9_suffix_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
     from presswork.llm.mixing import MIXING_SQL
+    from presswork.llm.ngram_join import NGRAM_SQL
     from presswork.llm.substring_dedup import SUBSTRING_SQL
 
-    return {"op2_substring_dedup": SUBSTRING_SQL, "op3_weighted_mix": MIXING_SQL}
+    return {"op5_ngram_join": NGRAM_SQL, "op2_substring_dedup": SUBSTRING_SQL, "op3_weighted_mix": MIXING_SQL}
