@@ -27,6 +27,12 @@ def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswork.llm.fingerprints import fingerprint_report
+
+    return fingerprint_report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from presswork.llm.ngram_join import ngram_report
 
@@ -64,7 +70,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_weighted_mix, op5_ngram_join, op6_license_scan, op7_decontaminate, op8_language_id, op9_suffix_dedup, op10_pii)}
+    found = (
+        op1_secret_scan,
+        op2_substring_dedup,
+        op3_weighted_mix,
+        op4_document_fingerprints,
+        op5_ngram_join,
+        op6_license_scan,
+        op7_decontaminate,
+        op8_language_id,
+        op9_suffix_dedup,
+        op10_pii,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
