@@ -52,7 +52,7 @@ def difference_cover(q: int) -> tuple[int, tuple[int, ...]]:
                     if x[2] == 0:
                         members.append(i)
                     x = (c * x[2] % q, (x[0] + b * x[2]) % q, (x[1] + a * x[2]) % q)
-                if len({(m - n) % v for m in members for n in members}) == v:
+                if len(members) == q + 1 and len({(m - n) % v for m in members for n in members}) == v:
                     return v, tuple(members)
     raise ValueError(f"no difference cover for {q}")
 
