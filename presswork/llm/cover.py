@@ -124,7 +124,7 @@ def _windows(plan: Plan, values: np.ndarray, counts: np.ndarray, anchors: np.nda
 
 def _distinct(major: np.ndarray, minor: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal hashes together, and where in it a new one begins."""
-    order = np.argsort(major, kind="stable")
+    order = np.argsort(major)
     s = major[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
@@ -218,11 +218,14 @@ class _Chunk:
         many |= _bits(answers, 0, unique, bits)
         return np.sort(at[order][many[group]])
 
-    def windows(self, anchors: np.ndarray, round_: int, answers: pa.Table | None, bits: int):
-        """Windows of one round as messages, or the places of those that repeat."""
+    def candidates(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows that hold one of ``anchors``, and their hashes."""
+        at = _windows(self.plan, self.values, self.counts, anchors)
+        return at, _hashes(self.values, at, self.plan.window, K.BASES[0] ^ 0x5DEECE66C)
+
+    def windows(self, at: np.ndarray, major: np.ndarray, round_: int, answers: pa.Table | None, bits: int):
+        """Candidates of one round as messages, or (with answers) the places of those that repeat."""
         plan = self.plan
-        at = _windows(plan, self.values, self.counts, anchors)
-        major = _hashes(self.values, at, plan.window, K.BASES[0] ^ 0x5DEECE66C)
         if plan.rounds > 1:
             # Rounds go by low bits, buckets by high ones.
             mine = major % K.U64(plan.rounds) == K.U64(round_)
@@ -230,7 +233,6 @@ class _Chunk:
         minor = (_hashes(self.values, at, plan.window, K.BASES[1]) >> K.U64(32)).astype(np.uint32)
         order, new = _distinct(major, minor)
         begin = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
         at, unique = at[order], major[order][new]
         least = own = None
         if plan.later_only:
@@ -238,12 +240,9 @@ class _Chunk:
             least = np.minimum.reduceat(own, begin) if len(begin) else own
         if answers is None:
             return unique, minor[order][new], least
-        elsewhere = _bits(answers, round_ + 1, unique, bits)
-        hit = elsewhere[group]
-        if plan.later_only:
-            hit = hit | (own > least[group])
-        else:
-            hit = hit | (np.bincount(group, minlength=len(unique)) > 1)[group]
+        times = np.diff(np.append(begin, len(at)))
+        hit = np.repeat(_bits(answers, round_ + 1, unique, bits), times)
+        hit |= own > np.repeat(least, times) if plan.later_only else np.repeat(times > 1, times)
         return at[hit]
 
 
@@ -287,7 +286,7 @@ def repeats(documents: DataFrame, plan: Plan, finish: Callable[[pa.Array, list[n
     def ask_windows(round_: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
             chunk = _Chunk(plan, table)
-            got = chunk.windows(chunk.anchors(answers, bits), round_, None, bits)
+            got = chunk.windows(*chunk.candidates(chunk.anchors(answers, bits)), round_, None, bits)
             return _table(_MESSAGE_ARROW, list(_messages(table["chunk"][0].as_py(), *got, bits)))
 
         return ask
@@ -296,13 +295,16 @@ def repeats(documents: DataFrame, plan: Plan, finish: Callable[[pa.Array, list[n
 
     def settle(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _Chunk(plan, table)
-        anchors = chunk.anchors(answers, bits)
-        step = np.zeros(len(chunk.values) + 1, np.int32)
+        at, major = chunk.candidates(chunk.anchors(answers, bits))
+        upto = np.zeros(len(chunk.values) + 1, np.int32)
         for r in range(plan.rounds):
-            at = chunk.windows(anchors, r, answers, bits)
-            np.add.at(step, at, 1)
-            np.add.at(step, at + plan.window, -1)
-        gone = np.cumsum(step[:-1]) > 0
+            upto[chunk.windows(at, major, r, answers, bits) + 1] = 1
+        # A token goes if a repeated window begins at it or up to window - 1 before it.
+        np.cumsum(upto, out=upto)
+        gone = upto[1:].copy()
+        if len(gone) > plan.window:
+            gone[plan.window :] -= upto[1 : -plan.window]
+        gone = gone > 0
         begin = _starts(chunk.counts)
         each = [gone[b : b + n] for b, n in zip(begin.tolist(), chunk.counts.tolist(), strict=True)]
         row = chunk.table["row"]

@@ -30,7 +30,7 @@ def byte_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, np.diff(offsets)
 
 
-PLAN = Plan(tokens=byte_tokens, window=WINDOW, q=11, later_only=False, rounds=3)
+PLAN = Plan(tokens=byte_tokens, window=WINDOW, q=11, later_only=False, rounds=2)
 _RESULT = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
