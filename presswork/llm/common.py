@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.cluster import ship  # noqa: F401  (for the operators)
+
 #: A word of the byte-oriented contracts: anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: The setting that frees the shuffle files of a finished query.
@@ -32,23 +32,6 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once for each application.
-
-    They need not have it on their path: Spark's own file server hands it out.
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_presswork_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[2]
-    archive = Path(tempfile.mkdtemp(prefix="presswork-")) / "presswork_modules.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for source in sorted((top / "presswork").rglob("*.py")):
-            z.write(source, source.relative_to(top))
-    sc.addPyFile(str(archive))
-    sc._presswork_shipped = True
-
-
 @contextmanager
 def free_shuffles(spark: SparkSession):
     """Queries run inside free their shuffle files as soon as they end."""
