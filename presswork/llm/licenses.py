@@ -101,7 +101,7 @@ NOTICES = (
 #: How a license is named in a notice: pattern around the name, priority.
 FORMS = (
     (r"(?:licen[sc]ed|released|distributed|available|provided|published|covered)\W+under\W+(?:the\W+)?(?:terms\W+of\W+)?(?:the\W+)?{name}(?:\W+licen[sc]e)?", 80),
-    (r"{name}\W+licen[sc]e(?:\W+(?:agreement|version\W+[0-9.]+))?", 60),
+    (r"{name}\W+licen[sc]e(?:\W+(?:agreement|version\W+[0-9]+(?:\.[0-9]+)*))?", 60),
     (r"licen[sc]e\W*[:=]\W*{name}(?!\w)", 50),
     (r"spdx-license-identifier:\x20*{id}(?![\w.-])", 100),
 )
