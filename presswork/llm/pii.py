@@ -67,33 +67,52 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _term_spans(text: Column, spans: Column) -> Column:
-    """Words of a text outside its identifiers, lower-cased, with their places."""
-    words = F.transform(find_all(text, _TERM), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["match"]).alias("match")))
-    return F.filter(words, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+def _replace(text: Column, spans: Column) -> Column:
+    """A text with spans (start, end, by; in order) replaced; of overlapping ones the first counts."""
+
+    def put(state: Column, s: Column) -> Column:
+        piece = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), s["by"])
+        fits = s["start"] >= state["at"]
+        return F.struct(F.when(fits, s["end"]).otherwise(state["at"]).alias("at"), F.when(fits, piece).otherwise(state["out"]).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, begin, put, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def _words(text: Column) -> Column:
+    """The distinct terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
 
 def disclosing_terms(documents: DataFrame, holders: DataFrame) -> DataFrame:
     """entity, term, disclosed: terms that give away ``GENERALISE`` of an entity or more.
 
-    ``holders`` has text_key, entities (array of strings) and terms (array of
-    structs with match) of the documents with identifiers.
+    ``holders`` has text_key, entities and terms (arrays of strings) of the
+    documents with identifiers. A term is at least as frequent in all documents
+    as in those, which bounds what it can disclose: pairs that stay below are out
+    before the terms are counted everywhere.
     """
-    each = holders.select("text_key", F.explode("entities").alias("entity"), F.array_distinct(F.col("terms.match")).alias("terms"))
-    recurring = each.groupBy("entity").agg(F.count_distinct("text_key").alias("texts"), F.count("*").alias("n_e")).where(F.col("texts") >= MIN_TEXTS)
+    total = float(documents.count())
+
+    def disclosed(n_t: Column) -> Column:
+        mutual = F.log2(F.col("n_et") * F.lit(total) / (F.col("n_e") * n_t.cast("double")))
+        return mutual / F.log2(F.lit(total) / F.col("n_e"))
+
+    each = holders.select("text_key", F.explode("entities").alias("entity"), "terms")
+    recurring = each.groupBy("entity").agg(F.count_distinct("text_key").alias("texts"), F.count("*").alias("n_e"))
+    recurring = recurring.where((F.col("texts") >= MIN_TEXTS) & (F.col("n_e") < total)).drop("texts")
     pairs = each.join(recurring, "entity").select("entity", "n_e", "text_key", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "n_e", "term", "text_key").agg(F.count("*").alias("n")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_et"))
-    pairs = materialize(pairs.where(F.col("texts") >= MIN_TEXTS), "pairs")
+    here = holders.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_here"))
+    pairs = pairs.where(F.col("texts") >= MIN_TEXTS).join(here, "term").where(disclosed(F.col("n_here")) >= GENERALISE)
+    pairs = materialize(pairs.select("entity", "term", "n_e", "n_et"), "pairs")
     terms = materialize(pairs.select("term").distinct(), "terms")
     n_terms = terms.count()
-    total = documents.count()
     if n_terms <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
-    words = documents.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))).alias("term")) if n_terms else documents.select(F.lit("").alias("term")).limit(0)
+    words = documents.select(F.explode(_words(F.col("text"))).alias("term")) if n_terms else documents.select(F.lit("").alias("term")).limit(0)
     n_t = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    information = F.log2(F.lit(float(total)) / F.col("n_e"))
-    mutual = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t").cast("double")))
-    scored = pairs.join(n_t, "term").where(F.col("n_e") < total).withColumn("disclosed", mutual / information)
+    scored = pairs.join(n_t, "term").withColumn("disclosed", disclosed(F.col("n_t")))
     return scored.where(F.col("disclosed") >= GENERALISE).select("entity", "term", "disclosed")
 
 
@@ -111,13 +130,18 @@ def find_personal_data(documents: DataFrame, keep: list[str] | None = None) -> D
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), text.alias("text")).withColumn("key", text_key("id", "text"))
     found = rows.withColumn("base", base_spans(F.col("text")))
     holders = found.where(F.size("base") > 0).select("id", "key", text_key("text").alias("text_key"), "text", "base")
+    blank = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("by")))
     entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["match"])))
-    holders = materialize(holders.select("id", "key", "text_key", entities.alias("entities"), _term_spans(F.col("text"), F.col("base")).alias("terms")), "holders")
+    holders = materialize(holders.select("*", entities.alias("entities"), _words(_replace(F.col("text"), blank)).alias("terms")), "holders")
     telling = disclosing_terms(rows, holders)
-    mine = holders.dropDuplicates(["id", "key"]).select("id", "key", "terms", F.explode("entities").alias("entity")).join(telling, "entity")
-    spans = F.transform(F.filter("terms", lambda w: w["match"] == F.col("term")), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["match"].alias("match"), F.col("disclosed").alias("disclosed")))
-    mine = mine.select("id", "key", F.explode(spans).alias("s")).groupBy("id", "key", "s.start", "s.end", "s.match").agg(F.max("s.disclosed").alias("disclosed"))
-    mine = materialize(mine.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "match", "disclosed"))).alias("terms")), "disclosing")
+    once = holders.dropDuplicates(["id", "key"])
+    mine = once.select("id", "key", "terms", F.explode("entities").alias("entity")).join(telling, "entity").where(F.array_contains("terms", F.col("term")))
+    mine = mine.groupBy("id", "key", "term").agg(F.max("disclosed").alias("disclosed")).groupBy("id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosed"))).alias("telling"))
+    mine = once.alias("h").join(mine.alias("m"), F.col("h.id").eqNullSafe(F.col("m.id")) & (F.col("h.key") == F.col("m.key"))).select("h.id", "h.key", "text", "base", "telling")
+    at = find_all(F.col("text"), _TERM, lambda m: F.map_contains_key("telling", F.lower(m)))
+    outside = F.filter(at, lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    spans = F.transform(outside, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["match"].alias("match"), F.col("telling")[F.lower(w["match"])].alias("disclosed")))
+    mine = materialize(mine.select("id", "key", spans.alias("terms")), "disclosing")
     on = found["id"].eqNullSafe(mine["id"]) & (found["key"] == mine["key"])
     none = F.array().cast("array<struct<start:int,end:int,match:string,disclosed:double>>")
     joined = found.join(mine, on, "left").select("row", "base", F.coalesce(mine["terms"], none).alias("terms"))
@@ -135,14 +159,7 @@ def redact(documents: DataFrame) -> DataFrame:
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["disclosed"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("by")))
     text = F.col("text")
-
-    def put(state: Column, s: Column) -> Column:
-        piece = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), s["by"])
-        fits = s["start"] >= state["at"]
-        return F.struct(F.when(fits, s["end"]).otherwise(state["at"]).alias("at"), F.when(fits, piece).otherwise(state["out"]).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate(F.array_sort(F.concat(base, terms)), begin, put, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    new = _replace(text, F.array_sort(F.concat(base, terms)))
     clean = F.when((F.size("base") + F.size("terms") > 0) & text.isNotNull(), new).otherwise(text)
     return found.select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns])
 
