@@ -25,8 +25,6 @@ from presswork.llm.spans import SPAN, count_kind, find_all, gated, labelled, lis
 MIN_TEXTS = 5
 #: Share of an entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Candidate terms up to which their table (under 300 bytes a row) is broadcast; beyond, it is joined by shuffling.
-BROADCAST_TERMS = 100_000
 
 KINDS = ("email", "ip", "card", "phone")
 _TERM = r"\p{L}[\p{L}\p{N}'_-]{2,63}"
@@ -107,11 +105,12 @@ def disclosing_terms(documents: DataFrame, holders: DataFrame) -> DataFrame:
     pairs = pairs.where(F.col("texts") >= MIN_TEXTS).join(here, "term").where(disclosed(F.col("n_here")) >= GENERALISE)
     pairs = materialize(pairs.select("entity", "term", "n_e", "n_et"), "pairs")
     terms = materialize(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    if n_terms <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    words = documents.select(F.explode(_words(F.col("text"))).alias("term")) if n_terms else documents.select(F.lit("").alias("term")).limit(0)
-    n_t = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    if terms.isEmpty():
+        words = documents.select(F.lit("").alias("term")).limit(0)
+    else:
+        words = documents.select(F.explode(_words(F.col("text"))).alias("term"))
+    # Counted first, joined then: what is joined are terms, not their occurrences.
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     scored = pairs.join(n_t, "term").withColumn("disclosed", disclosed(F.col("n_t")))
     return scored.where(F.col("disclosed") >= GENERALISE).select("entity", "term", "disclosed")
 
