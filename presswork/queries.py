@@ -351,12 +351,12 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pages as a crawl: every fifty pages of a host are those of one source.
+    """Pages as a crawl: every ten pages in a row of a host are those of one source.
 
     Sources with an even number have a feed that lists them, the others a
     sitemap behind an index.
     """
-    pages = _table(spark, sf_dir, "pages").withColumn("share", F.floor(F.col("page_id") / 50))
+    pages = _table(spark, sf_dir, "pages").withColumn("share", F.floor(F.col("page_id") / 10))
     site = F.concat(F.lit("s"), F.col("share"), F.lit("."), urls.part(F.col("url"), "host"))
     pages = pages.withColumn("site", site)
     sites = pages.groupBy("site").agg(F.min("share").alias("share"), F.min("page_id").cast("int").alias("registry_pos"))

@@ -39,6 +39,7 @@ def read_version(spark: SparkSession, path: str, number: int) -> DataFrame:
 
 def windowed_counts(stream: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of a stream by kind in tumbling windows; events later than ``late`` are dropped."""
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
