@@ -1,16 +1,20 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
-A text is cut into paragraphs, long lines further into sentences; each gets a
-64-bit digest (with the number of its occurrence, so that repeats count). A
-table has cells in three parts; a digest is added to one cell of each part:
-a count, the digests and their checks, the last two by exclusive or. Tables of
-two versions subtract cell by cell; what both hold cancels out, and peeling
-cells with a single digest left gives back the digests that only one of them
-has. A table too small for the difference fails to peel; then larger tables,
-with other cells, are built and peeled.
+A text is cut at line ends and sentence ends. A paragraph ends at a sentence
+whose hash is 0 modulo 2**level; the level grows with the number of sentences,
+so that a text of any length has about ``PARAGRAPHS`` paragraphs and a change
+touches only those around it. Each gets a 40-bit digest (with the number of its
+occurrence, so that repeats count) and a 24-bit check, together one word.
+
+A table has cells in three parts; a word goes into one cell of each part, by
+exclusive or. Tables of two versions subtract the same way; what both hold
+cancels out. A cell whose check fits holds a single word: peeling takes it out
+of its other cells until none is left, and gives back the digests that only one
+version has. If a table is too small for the difference and does not peel,
+larger ones, with other cells, are built and peeled.
 
 The fingerprint of a text is its table of ``CELLS`` cells as a string. All of it
-runs on built-in functions; a cell is a struct and a table an array of them.
+runs on built-in functions; a table is an array of 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -22,19 +26,21 @@ from pyspark.sql import functions as F
 
 #: Cells of a fingerprint (a multiple of 3).
 CELLS = 24
+#: Paragraphs of a long text, about.
+PARAGRAPHS = 16
 #: Larger tables tried one after the other, each with twice the cells.
 TRIES = 6
 #: Rounds of peeling; a table that peels takes few.
-ROUNDS = 40
+ROUNDS = 30
 #: Text that one range of ids holds, about.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 2 << 20
 #: Ranges of ids by quantile, at most; more ranges divide these evenly.
 QUANTILES = 256
 
 _LAST = (1 << 63) - 1
-_PIECE = r"[\n\r]+|(?<=[.!?])\x20+"
-_CELL = "struct<c:int,n:int,k:bigint,x:bigint>"
-_TABLE = f"array<{_CELL}>"
+_SENTENCE = r"[\n\r]+|(?<=[.!?])\x20+"
+_WORDS = "array<bigint>"
+_CHECK = (1 << 24) - 1
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,106 +48,102 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def digests(text: Column) -> Column:
-    """Digests of the paragraphs of a text: a set, repeats are numbered."""
-    pieces = F.array_sort(F.filter(F.split(text, _PIECE), lambda p: p != ""))
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
 
-    def step(s: Column, p: Column) -> Column:
-        k = F.when(p == s["last"], s["k"] + 1).otherwise(F.lit(0))
-        return _let(k, lambda k: F.struct(p.alias("last"), k.alias("k"), F.concat(s["out"], F.array(F.xxhash64(p, k))).alias("out")))
 
-    begin = F.struct(F.lit("").alias("last"), F.lit(0).alias("k"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(pieces, begin, step, lambda s: s["out"])
+def sentences(text: Column) -> Column:
+    """Hashes of the sentences of a text, in order."""
+    return F.transform(F.filter(F.split(text, _SENTENCE), lambda p: p != ""), lambda p: F.xxhash64(p))
 
 
-def _check(key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit("check")), 32)
+def level(hashes: Column) -> Column:
+    """The level at which this many sentences make about ``PARAGRAPHS`` paragraphs."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(hashes), F.lit(1)) / F.lit(PARAGRAPHS)))).cast("int")
 
 
-def _entries(key: Column, sign: Column, cells: Column, attempt: Column) -> Column:
-    """The three cells a digest goes to, as cells with that digest alone."""
-    part = (cells / 3).cast("int")
-    return F.array(
-        *[
-            F.struct((F.pmod(F.xxhash64(key, attempt, F.lit(j)), part.cast("bigint")).cast("int") + part * j).alias("c"), sign.cast("int").alias("n"), key.alias("k"), _check(key).alias("x")).cast(_CELL)
-            for j in range(3)
-        ]
-    )
+def _word(digest: Column) -> Column:
+    key = F.shiftrightunsigned(digest, 24)
+    return F.shiftleft(key, 24).bitwiseOR(F.xxhash64(key).bitwiseAND(F.lit(_CHECK)))
+
+
+def digests(hashes: Column, at: Column) -> Column:
+    """Words of the paragraphs of a text at a level: a set, repeats are numbered."""
+    every = F.pow(F.lit(2), at).cast("bigint")
+
+    def cut(s: Column, h: Column) -> Column:
+        def put(now: Column) -> Column:
+            ends = F.pmod(F.shiftright(h, 7), every) == 0
+            return F.struct(F.when(ends, _zero()).otherwise(now).alias("now"), F.when(ends, F.concat(s["out"], F.array(now))).otherwise(s["out"]).alias("out"))
 
+        return _let(F.xxhash64(s["now"], h), put)
 
-def _merge(entries: Column, dense: bool) -> Column:
-    """Cells with the same number added up; empty ones kept only if ``dense``."""
+    begin = F.struct(_zero().alias("now"), F.array().cast(_WORDS).alias("out"))
+    paragraphs = F.aggregate(hashes, begin, cut, lambda s: F.when(s["now"] == 0, s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))))
 
-    def step(s: Column, e: Column) -> Column:
-        cur = s["cur"]
-        both = F.struct(cur["c"].alias("c"), (cur["n"] + e["n"]).alias("n"), cur["k"].bitwiseXOR(e["k"]).alias("k"), cur["x"].bitwiseXOR(e["x"]).alias("x"))
-        same = cur["c"] == e["c"]
-        return F.struct(F.when(same, both).otherwise(e).cast(_CELL).alias("cur"), F.when(same, s["out"]).otherwise(F.concat(s["out"], F.array(cur))).alias("out"))
+    def number(s: Column, p: Column) -> Column:
+        again = F.when(p == s["last"], s["k"] + 1).otherwise(F.lit(0))
+        return _let(again, lambda k: F.struct(p.alias("last"), k.alias("k"), F.concat(s["out"], F.array(_word(F.xxhash64(p, k)))).alias("out")))
 
-    nothing = F.struct(F.lit(-1).alias("c"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("x")).cast(_CELL)
-    begin = F.struct(nothing.alias("cur"), F.array().cast(_TABLE).alias("out"))
-    live = (lambda c: c["c"] >= 0) if dense else (lambda c: (c["c"] >= 0) & ((c["n"] != 0) | (c["k"] != 0)))
-    return F.filter(F.aggregate(F.array_sort(entries), begin, step, lambda s: F.concat(s["out"], F.array(s["cur"]))), live)
+    begin = F.struct(_zero().alias("last"), F.lit(0).alias("k"), F.array().cast(_WORDS).alias("out"))
+    return F.aggregate(F.array_sort(paragraphs), begin, number, lambda s: s["out"])
 
 
-def table(keys: Column, cells: Column, attempt: Column) -> Column:
-    """The table of a set of digests, all cells in order."""
-    empty = F.transform(F.sequence(F.lit(0), cells - 1), lambda c: F.struct(c.cast("int").alias("c"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("x")).cast(_CELL))
-    return _merge(F.concat(F.flatten(F.transform(keys, lambda k: _entries(k, F.lit(1), cells, attempt))), empty), True)
+def table(words: Column, cells: Column, attempt: Column) -> Column:
+    """The table of a set of words: three parts of ``cells`` / 3 cells, end to end."""
+    width = (cells / 3).cast("int")
+
+    def part(j: int) -> Column:
+        placed = F.transform(words, lambda w: F.struct(w.alias("w"), F.pmod(F.xxhash64(w, attempt, F.lit(j)), width.cast("bigint")).cast("int").alias("c")))
+        return _let(placed, lambda p: F.transform(F.sequence(F.lit(0), width - 1), lambda c: F.aggregate(p, _zero(), lambda x, e: F.when(e["c"] == c, x.bitwiseXOR(e["w"])).otherwise(x))))
+
+    return F.concat(part(0), part(1), part(2))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    """Cell by cell; both tables have the same cells and were built in the same attempt."""
-    return F.zip_with(a, b, lambda p, q: F.struct(p["c"].alias("c"), (p["n"] - q["n"]).alias("n"), p["k"].bitwiseXOR(q["k"]).alias("k"), p["x"].bitwiseXOR(q["x"]).alias("x")).cast(_CELL))
+    """Cell by cell; both tables have as many cells and come from the same attempt."""
+    return F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))
 
 
 def peel(difference: Column, cells: Column, attempt: Column) -> Column:
-    """done, only_a, only_b: the digests that only one side has, if all came out."""
-    keys = "array<bigint>"
+    """done, words: what only one side has, if all came out."""
 
-    def round_(s: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["x"] == _check(c["k"]))), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
+    def pure(v: Column) -> Column:
+        return (v != 0) & (v.bitwiseAND(F.lit(_CHECK)) == F.xxhash64(F.shiftrightunsigned(v, 24)).bitwiseAND(F.lit(_CHECK)))
 
+    def round_(s: Column, _: Column) -> Column:
         def take(p: Column) -> Column:
-            away = F.flatten(F.transform(p, lambda c: _entries(c["k"], -c["n"], cells, attempt)))
-            side = lambda sign: F.transform(F.filter(p, lambda c: c["n"] == sign), lambda c: c["k"])
-            new = F.struct(_merge(F.concat(s["cells"], away), False).alias("cells"), F.concat(s["a"], side(1)).alias("a"), F.concat(s["b"], side(-1)).alias("b"))
-            return F.when(F.size(p) == 0, s).otherwise(new)
+            return F.when(F.size(p) == 0, s).otherwise(F.struct(subtract(s["cells"], table(p, cells, attempt)).alias("cells"), F.concat(s["out"], p).alias("out")))
 
-        return F.when(F.size(s["cells"]) == 0, s).otherwise(_let(pure, take))
+        return _let(F.array_distinct(F.filter(s["cells"], pure)), take)
 
-    begin = F.struct(F.filter(difference, lambda c: (c["n"] != 0) | (c["k"] != 0)).alias("cells"), F.array().cast(keys).alias("a"), F.array().cast(keys).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, round_, lambda s: F.struct((F.size(s["cells"]) == 0).alias("done"), s["a"].alias("only_a"), s["b"].alias("only_b")))
+    begin = F.struct(difference.alias("cells"), F.array().cast(_WORDS).alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, round_, lambda s: F.struct(F.forall(s["cells"], lambda v: v == 0).alias("done"), s["out"].alias("words")))
 
 
-def compare(a_keys: Column, b_keys: Column, a_table: Column, b_table: Column) -> Column:
-    """done, only_a, only_b from two fingerprint tables, or from larger ones if these fail.
+def compare(a: Column, b: Column) -> Column:
+    """done, words: the words that only one of two sets (columns) has, by tables alone."""
 
-    All arguments are columns that hold their values (not expressions).
-    """
-    first = peel(subtract(a_table, b_table), F.lit(CELLS), F.lit(0))
+    def attempt(cells: Column, r: Column) -> Column:
+        return peel(subtract(table(a, cells, r), table(b, cells, r)), cells, r)
 
     def again(s: Column, r: Column) -> Column:
-        def larger(cells: Column) -> Column:
-            return peel(subtract(table(a_keys, cells, r), table(b_keys, cells, r)), cells, r)
-
-        # Half as many digests again as both sides have: enough even if nothing is shared.
-        need = (F.ceil((F.size(a_keys) + F.size(b_keys)) / 2).cast("int") + 8) * 3 * F.pow(F.lit(2), r - 1).cast("int")
-        return F.when(s["done"], s).otherwise(_let(need.cast("int"), larger))
+        # Half as many cells again as both sides have words: enough even if nothing is shared.
+        need = (F.ceil((F.size(a) + F.size(b)) / 2).cast("int") + 4) * 3 * F.pow(F.lit(2), r - 1).cast("int")
+        return F.when(s["done"], s).otherwise(_let(need, lambda cells: attempt(cells, r)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), first, again)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), attempt(F.lit(CELLS), F.lit(0)), again)
 
 
-def likeness(found: Column, a_keys: Column, b_keys: Column) -> Column:
-    """Share of digests that both have; 1 for two texts without any, 0 if nothing peeled."""
-    total = F.size(a_keys) + F.size(b_keys)
-    differ = F.size(found["only_a"]) + F.size(found["only_b"])
-    return F.when(total == 0, F.lit(1.0)).when(~found["done"], F.lit(0.0)).otherwise(F.lit(1.0) - differ / total)
+def likeness(found: Column, a: Column, b: Column) -> Column:
+    """Share of words that both have; 1 for two texts without any, 0 if nothing peeled."""
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).when(~found["done"], F.lit(0.0)).otherwise(F.lit(1.0) - F.size(found["words"]) / total)
 
 
-def render(keys: Column, cells: Column) -> Column:
-    """A fingerprint table as text: the number of digests, then the cells."""
-    return F.concat(F.size(keys).cast("string"), F.lit(":"), F.array_join(F.transform(cells, lambda c: F.concat_ws(".", c["n"].cast("string"), F.hex(c["k"]), F.hex(c["x"]))), ","))
+def render(at: Column, words: Column, cells: Column) -> Column:
+    """A fingerprint table as text: level, number of paragraphs, cells."""
+    return F.concat_ws(":", at.cast("string"), F.size(words).cast("string"), F.array_join(F.transform(cells, lambda v: F.hex(v)), "."))
 
 
 def with_next(rows: DataFrame) -> DataFrame:
@@ -169,11 +171,10 @@ def with_next(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("range", k.cast("bigint") * inner + sub)
     within = Window.partitionBy("range").orderBy("id", "text")
     rows = rows.withColumn("after", F.lead(F.struct("text")).over(within))
-    least = rows.groupBy("range").agg(F.min("id").alias("id"))
-    # One row for each RANGE_BYTES of text: small by construction.
-    firsts = rows.drop("after").join(F.broadcast(least), ["range", "id"]).groupBy("range").agg(F.min("text").alias("first_text"))
+    firsts = rows.withColumn("nth", F.row_number().over(within)).where("nth = 1").select("range", F.col("text").alias("first_text"))
     order = Window.orderBy("range")
-    ring = least.select("range", F.coalesce(F.lead("range").over(order), F.first("range").over(order)).alias("next_range"))
+    ranges = rows.select("range").distinct()
+    ring = ranges.select("range", F.coalesce(F.lead("range").over(order), F.first("range").over(order)).alias("next_range"))
     heads = ring.join(firsts.withColumnRenamed("range", "next_range"), "next_range").select("range", "first_text")
     return rows.join(heads, "range").withColumn("next_text", F.when(F.col("after").isNull(), F.col("first_text")).otherwise(F.col("after.text"))).drop("after", "first_text", "range")
 
@@ -186,26 +187,39 @@ def fingerprint(documents: DataFrame, keep: list[str] | None = None) -> DataFram
     names are replaced; an empty table stays empty.
     """
     names = [c for c in (documents.columns if keep is None else keep) if c not in ("digests", "fingerprint")]
-    rows = documents.select(*[F.col(f"`{c}`") for c in names], digests(F.coalesce("text", F.lit(""))).alias("digests"))
-    rows = rows.withColumn("_table", table(F.col("digests"), F.lit(CELLS), F.lit(0)))
-    return rows.select(*[F.col(f"`{c}`") for c in names], "digests", render(F.col("digests"), F.col("_table")).alias("fingerprint"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), sentences(F.coalesce("text", F.lit(""))).alias("s"))
+    rows = rows.select("row", level(F.col("s")).alias("at"), digests(F.col("s"), level(F.col("s"))).alias("digests"))
+    rows = rows.select("*", render(F.col("at"), F.col("digests"), table(F.col("digests"), F.lit(CELLS), F.lit(0))).alias("fingerprint"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names], "digests", "fingerprint")
 
 
 def fingerprint_report(documents: DataFrame) -> DataFrame:
-    """Fingerprints of all texts and of their edited versions, and how alike they are (query ``op4``)."""
+    """Fingerprints of all texts and of their edited versions, and how alike they are (query ``op4``).
+
+    Two texts are compared at the higher of their levels.
+    """
     rows = with_next(documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"))
-    rows = rows.select("*", *[table(F.col(x), F.lit(CELLS), F.lit(0)).alias(f"{x}_table") for x in "abc"])
-    rows = rows.select("*", *[compare(F.col("a"), F.col(x), F.col("a_table"), F.col(f"{x}_table")).alias(f"a{x}") for x in "bc"])
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[sentences(F.col(c)).alias(x) for x, c in (("a", "text"), ("b", "edited"), ("c", "next_text"))])
+    rows = rows.select("*", *[level(F.col(x)).alias(f"{x}_at") for x in "abc"])
+    high = {x: F.greatest("a_at", f"{x}_at") for x in "bc"}
+    rows = rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "a_at",
+        "b_at",
+        *[digests(F.col(x), F.col(f"{x}_at")).alias(f"{x}_own") for x in "ab"],
+        *[digests(F.col(x), high[y]).alias(f"{x}_{y}") for y in "bc" for x in ("a", y)],
+    )
+    rows = rows.select("*", *[compare(F.col(f"a_{y}"), F.col(f"{y}_{y}")).alias(f"found_{y}") for y in "bc"])
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        render(F.col("a"), F.col("a_table")).alias("fingerprint"),
-        render(F.col("b"), F.col("b_table")).alias("edited_fingerprint"),
-        likeness(F.col("ab"), F.col("a"), F.col("b")).alias("near_edited"),
-        likeness(F.col("ac"), F.col("a"), F.col("c")).alias("near_next"),
+        *[render(F.col(f"{x}_at"), F.col(f"{x}_own"), table(F.col(f"{x}_own"), F.lit(CELLS), F.lit(0))).alias(f) for x, f in (("a", "fingerprint"), ("b", "edited_fingerprint"))],
+        likeness(F.col("found_b"), F.col("a_b"), F.col("b_b")).alias("near_edited"),
+        likeness(F.col("found_c"), F.col("a_c"), F.col("c_c")).alias("near_next"),
     )
