@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presswork.cluster import materialize
 from presswork.functions.dates import parse_iso
 from presswork.functions.geo import resolve_location
 from presswork.functions.html import extract_page
@@ -65,8 +66,12 @@ def normalize(items: DataFrame, ingest_ts: Column) -> DataFrame:
 
 
 def ingest(sources: DataFrame, responses: DataFrame, ingest_ts: Column, resolution: DataFrame | None = None) -> DataFrame:
-    """Articles of all given sources, each id once in a source; registry_pos and item_pos give their order."""
-    items = discover(sources, responses, resolution)
+    """Articles of all given sources, each id once in a source; registry_pos and item_pos give their order.
+
+    The raw items are written to the shared folder first: pages are fetched for
+    them once, and a lost executor does not start discovery again.
+    """
+    items = materialize(discover(sources, responses, resolution), "raw-items")
     joined = with_pages(with_sources(items, sources, sources.count()), responses)
     articles = normalize(joined, ingest_ts)
     return keep_first(articles.withColumn("_key", F.struct("source_id", "id")), "_key", "item_pos").drop("_key")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.cluster import ship
+from presswork.cluster import materialize, shared_dir, ship
 from presswork.functions import geo, html, text, urls
 from presswork.operators.filters import article_predicate
 from presswork.operators.paging import newest_page, page_math, total
@@ -383,7 +382,7 @@ def captured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ).select("r.url", "r.body")
     bodies = made.where("url IS NOT NULL").unionByName(pages.select("url", F.col("html").alias("body")))
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    return sources, bodies.select("url", F.lit(200).alias("status"), F.lit("application/xml").alias("content_type"), "body", F.col("url").alias("final_url"), at.alias("fetched_at"))
+    return materialize(sources, "sources"), materialize(bodies.select("url", F.lit(200).alias("status"), F.lit("application/xml").alias("content_type"), "body", F.col("url").alias("final_url"), at.alias("fetched_at")), "responses")
 
 
 @_query()
@@ -410,8 +409,7 @@ def ingested_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as a stream, kept by user; ends when all of them are in."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="presswork-")
-    path = f"{shared.rstrip('/')}/stream-{Path(tempfile.mktemp()).name}"
+    path = f"{shared_dir(spark)}/presswork/stream-{uuid.uuid4().hex}"
     events = _table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     query = upsert_stream(stream, f"{path}/data", f"{path}/checkpoint", "user_id", "ts", "event_id")
