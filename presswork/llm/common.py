@@ -1,73 +1,16 @@
-"""Shared plumbing of the training-data operators: shared storage, keys, sizes."""
+"""Shared plumbing of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.cluster import ship  # noqa: F401  (for the operators)
+from presswork.cluster import free_shuffles, materialize, release, shared_dir, ship
+
+__all__ = ["SPACE_WORD", "free_shuffles", "materialize", "read_table", "release", "shared_dir", "ship", "text_key"]
 
 #: A word of the byte-oriented contracts: anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
-#: The setting that frees the shuffle files of a finished query.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares, from ``spark.checkpoint.dir``.
-
-    Where the cluster names none (tests, a laptop) a local one is set once.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="presswork-"))
-    return shared_dir(spark)
-
-
-@contextmanager
-def free_shuffles(spark: SparkSession):
-    """Queries run inside free their shuffle files as soon as they end."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here.
-
-    The copy outlives lost executors. Shuffle files of the write are freed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/presswork/{name}-{uuid.uuid4().hex}"
-    with free_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._presswork_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote for ``df``; later reads fail."""
-    path = getattr(df, "_presswork_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def text_key(text: str | Column = "text", *more: str | Column) -> Column:
