@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import free_shuffles, shared_dir
+from presswork.llm.common import free_shuffles, materialize, shared_dir
 from presswork.llm.spans import SPAN, count_kind, find_all, labelled, listing
 
 
@@ -128,7 +128,8 @@ def scan_history(documents: DataFrame, ledger: str | None = None, keep: list[str
     one = current.groupBy("blob").agg(valid.alias("all"))
     ranked = F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     one = one.select("blob", F.transform(F.array_distinct(ranked), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("findings"))
-    joined = rows.drop("text").join(one, "blob", "left")
+    # Written first: the join below is then between two plain exchanges, and a blob that very many paths hold can be split.
+    joined = rows.drop("text").join(materialize(one, "findings"), "blob", "left")
     return joined.select(*[F.col("row").getField(c).alias(c) for c in names], "blob", F.coalesce("findings", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("findings"))
 
 
