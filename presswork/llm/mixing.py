@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.llm.common import SPACE_WORD
+from presswork.llm.common import SPACE_WORD, materialize
 
 #: Weights that the sources take in turn, by name.
 WEIGHTS = (3, 1, 2)
@@ -63,8 +63,9 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
     rows = documents.select("doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"))
+    # Texts are read once; all the rest works on this narrow table.
+    rows = materialize(rows.withColumn("range", F.substring("turn", 1, RANGE_DIGITS)), "sizes")
     targets = source_targets(rows, weights, budget, epochs)
-    rows = rows.withColumn("range", F.substring("turn", 1, RANGE_DIGITS))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).drop("words")
