@@ -57,7 +57,7 @@ def test_article_id(spark):
 
 ARTICLES = {
     "https://e.com/news/2024/05/long-headline-about-things": True,
-    "https://e.com/jamia-files-complaint-3539270": True,
+    "https://e.com/council-opens-bridge-4711": True,
     "https://e.com/one-two-three-four": True,
     "https://e.com/a1": True,
     "https://e.com/story/٣": True,
