@@ -211,6 +211,13 @@ def test_aggregator(spark, sources):
     assert {r.link: r.url for r in D.resolution_table(links, moved, replies).collect()} == {"g1": "https://e.com/a", "g2": "https://e.com/b"}
 
 
+def test_decoder_request(spark):
+    df = spark.createDataFrame([("https://news.google.com/rss/articles/CBM\"x?oc=5", '<c-wiz><div data-n-a-sg="S" data-n-a-ts="17">'), ("https://news.google.com/rss/articles/y", "<div>")], "link string, page string")
+    asked, nothing = [r[0] for r in df.select(D.resolver_request(F.col("link"), F.col("page"))).collect()]
+    [[[name, inner]]] = json.loads(asked)
+    assert name == "Fbv4je" and json.loads(inner)[0] == "garturlreq" and json.loads(inner)[2:] == ['CBM"x', "17", "S"] and nothing is None
+
+
 def test_fallback_chain(spark, sources):
     both = {"https://one.test/": HOME + f'<a href="{article(3)}">h</a>', "https://one.test/feed.xml": rss((article(1), "t", "")), "https://one.test/sitemap.xml": urlset(article(2)), "https://two.test/": f'<a href="{article(4, "two.test")}">h</a>'}
     got = {r.source_id: (r.url, r.strategy_rank) for r in D.discover(sources, responses(spark, both)).collect()}
