@@ -86,8 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from presswork.llm.decontaminate import CONTAMINATION_SQL
     from presswork.llm.mixing import MIXING_SQL
     from presswork.llm.ngram_join import NGRAM_SQL
     from presswork.llm.substring_dedup import SUBSTRING_SQL
 
-    return {"op5_ngram_join": NGRAM_SQL, "op2_substring_dedup": SUBSTRING_SQL, "op3_weighted_mix": MIXING_SQL}
+    return {"op5_ngram_join": NGRAM_SQL, "op2_substring_dedup": SUBSTRING_SQL, "op3_weighted_mix": MIXING_SQL, "op7_decontaminate": CONTAMINATION_SQL}
