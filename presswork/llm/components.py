@@ -1,9 +1,10 @@
 """Connected components of a graph in a DataFrame, by alternating stars.
 
 Each round hangs the larger neighbours of a node, then the smaller ones, on its
-least neighbour. Rounds are grouped by node with partial aggregation and joined
-with skew handling, so a hub with very many neighbours is no single task; every
-round is written to the shared folder, so lineage stays short.
+least neighbour. The least neighbours come from a partial aggregation and are
+written before they are joined: both sides of the join are plain exchanges then,
+which Spark splits where a node has very many neighbours. Every round is written
+to the shared folder, so lineage stays short.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from presswork.llm.common import materialize, release
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 

@@ -250,7 +250,8 @@ def join_near(documents: DataFrame, trees: int = TREES, recall: float = RECALL)
     buckets = max(1, n_classes * trees // 200_000)
     messages = classes.where(F.col("n") > 0).select("node", "keys").mapInArrow(_bucketed(buckets, trees), "bucket int, key binary, rep binary, u binary, v binary")
     near = components(messages.groupBy("bucket").applyInArrow(_chain, "u long, v long"))
-    near = near.join(near.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "root")
+    # What is joined by root is written first: a component with very many classes can then be split.
+    near = near.join(materialize(near.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "blocks"), "root")
     members = near.join(classes.select("node", "id", "row", "docs"), "node")
     members = members.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(-1).cast("int"))
     other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1))))
@@ -262,7 +263,7 @@ def join_near(documents: DataFrame, trees: int = TREES, recall: float = RECALL)
     found = materialize(found, "links")
     groups = components(found.select(F.col("node").alias("u"), F.col("top").alias("v")))
     named = groups.join(classes.select("node", "id"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("id").alias("group")), "root").select("node", "root", "group")
+    named = groups.join(materialize(named.groupBy("root").agg(F.min("id").alias("group")), "groups"), "root").select("node", "root", "group")
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.sum("n_near").alias("n_near"))
     per_class = classes.select("one", "two", "n", "node", F.col("id").alias("class"), "docs").join(links, "node", "left").join(named, "node", "left")
     zero = F.lit(0).cast("long")
