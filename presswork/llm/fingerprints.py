@@ -13,6 +13,12 @@ of its other cells until none is left, and gives back the digests that only one
 version has. If a table is too small for the difference and does not peel,
 larger ones, with other cells, are built and peeled.
 
+Versions are also compared piece by piece: every sentence is a piece, one of
+more than ``LONG`` characters is cut at words a hash chooses, and nothing is
+folded however long the text. The words of both versions fall into parts by
+their value, each with tables of its own, so that work grows little faster than
+the number of pieces; what the parts give back are the pieces that differ.
+
 The fingerprint of a text is its table of ``CELLS`` cells as a string. All of it
 runs on built-in functions; a table is an array of 64-bit numbers.
 """
@@ -28,6 +34,11 @@ from pyspark.sql import functions as F
 CELLS = 24
 #: Paragraphs of a long text, about.
 PARAGRAPHS = 16
+#: Characters from which a sentence is cut into runs of about 2**``RUN_LEVEL`` words.
+LONG = 400
+RUN_LEVEL = 4
+#: Words of both versions in a part, about.
+PART_WORDS = 32
 #: Larger tables tried one after the other, each with twice the cells.
 TRIES = 6
 #: Rounds of peeling; a table that peels takes few.
@@ -67,8 +78,8 @@ def _word(digest: Column) -> Column:
     return F.shiftleft(key, 24).bitwiseOR(F.xxhash64(key).bitwiseAND(F.lit(_CHECK)))
 
 
-def digests(hashes: Column, at: Column) -> Column:
-    """Words of the paragraphs of a text at a level: a set, repeats are numbered."""
+def _runs(hashes: Column, at: Column) -> Column:
+    """Digests of runs of hashes that end where a hash is 0 modulo 2**level."""
     every = F.pow(F.lit(2), at).cast("bigint")
 
     def cut(s: Column, h: Column) -> Column:
@@ -79,7 +90,12 @@ def digests(hashes: Column, at: Column) -> Column:
         return _let(F.xxhash64(s["now"], h), put)
 
     begin = F.struct(_zero().alias("now"), F.array().cast(_WORDS).alias("out"))
-    paragraphs = F.aggregate(hashes, begin, cut, lambda s: F.when(s["now"] == 0, s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))))
+    return F.aggregate(hashes, begin, cut, lambda s: F.when(s["now"] == 0, s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))))
+
+
+def digests(hashes: Column, at: Column) -> Column:
+    """Words of the paragraphs of a text at a level: a set, repeats are numbered."""
+    paragraphs = _runs(hashes, at)
 
     def number(s: Column, p: Column) -> Column:
         again = F.when(p == s["last"], s["k"] + 1).otherwise(F.lit(0))
@@ -89,6 +105,25 @@ def digests(hashes: Column, at: Column) -> Column:
     return F.aggregate(F.array_sort(paragraphs), begin, number, lambda s: s["out"])
 
 
+def pieces(text: Column) -> Column:
+    """Words of all pieces of a text: a set, repeats are numbered; in time linear in them but for sorting."""
+
+    def cut(p: Column) -> Column:
+        runs = _runs(F.transform(F.split(p, r"\x20+"), lambda w: F.xxhash64(w)), F.lit(RUN_LEVEL))
+        return F.when(F.length(p) > LONG, runs).otherwise(F.array(F.xxhash64(_zero(), F.xxhash64(p))))
+
+    def number(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def run(b: Column) -> Callable[[Column, Column], Column]:
+            return lambda i, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(b, j + 1), F.size(s)) - i - 1), lambda k: _word(F.xxhash64(F.get(s, i), k)))
+
+        return F.when(F.size(s) == 0, F.array().cast(_WORDS)).otherwise(_let(begins, lambda b: F.flatten(F.transform(b, run(b)))))
+
+    every = F.filter(F.split(text, _SENTENCE), lambda p: p != "")
+    return _let(F.sort_array(F.flatten(F.transform(every, cut))), number)
+
+
 def table(words: Column, cells: Column, attempt: Column) -> Column:
     """The table of a set of words: three parts of ``cells`` / 3 cells, end to end."""
     width = (cells / 3).cast("int")
@@ -135,6 +170,29 @@ def compare(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), attempt(F.lit(CELLS), F.lit(0)), again)
 
 
+def compare_pieces(a: Column, b: Column) -> Column:
+    """done, words: :func:`compare` of sets (columns) of any size, part by part.
+
+    Parts are split off in two steps of as many parts each.
+    """
+    side = F.ceil(F.sqrt((F.size(a) + F.size(b)) / F.lit(PART_WORDS))).cast("int")
+
+    def parts(words: Column, n: Column, bits: int) -> Callable[[Column], Column]:
+        return lambda i: F.filter(words, lambda w: F.pmod(F.shiftrightunsigned(w, bits), n.cast("bigint")) == i)
+
+    def both(x: Column, y: Column, n: Column, bits: int, body: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: _let(F.struct(parts(x, n, bits)(i).alias("x"), parts(y, n, bits)(i).alias("y")), body))
+
+    def split(n: Column) -> Column:
+        inner = lambda p: both(p["x"], p["y"], n, 44, lambda q: compare(q["x"], q["y"]))
+        return F.flatten(both(a, b, n, 24, inner))
+
+    def joined(found: Column) -> Column:
+        return F.struct(F.forall(found, lambda f: f["done"]).alias("done"), F.flatten(F.transform(found, lambda f: f["words"])).alias("words"))
+
+    return _let(_let(F.greatest(side, F.lit(1)), split), joined)
+
+
 def likeness(found: Column, a: Column, b: Column) -> Column:
     """Share of words that both have; 1 for two texts without any, 0 if nothing peeled."""
     total = F.size(a) + F.size(b)
@@ -196,13 +254,14 @@ def fingerprint(documents: DataFrame, keep: list[str] | None = None) -> DataFram
 def fingerprint_report(documents: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited versions, and how alike they are (query ``op4``).
 
-    Two texts are compared at the higher of their levels.
+    ``near_edited`` and ``near_next`` compare two texts at the higher of their
+    levels, ``like_edited`` and ``like_next`` piece by piece.
     """
     rows = with_next(documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[sentences(F.col(c)).alias(x) for x, c in (("a", "text"), ("b", "edited"), ("c", "next_text"))])
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[f(F.col(c)).alias(x + y) for x, c in (("a", "text"), ("b", "edited"), ("c", "next_text")) for f, y in ((sentences, ""), (pieces, "_all"))])
     rows = rows.select("*", *[level(F.col(x)).alias(f"{x}_at") for x in "abc"])
     high = {x: F.greatest("a_at", f"{x}_at") for x in "bc"}
     rows = rows.select(
@@ -211,10 +270,12 @@ def fingerprint_report(documents: DataFrame) -> DataFrame:
         "edited_sha256",
         "a_at",
         "b_at",
+        *[f"{x}_all" for x in "abc"],
         *[digests(F.col(x), F.col(f"{x}_at")).alias(f"{x}_own") for x in "ab"],
         *[digests(F.col(x), high[y]).alias(f"{x}_{y}") for y in "bc" for x in ("a", y)],
     )
     rows = rows.select("*", *[compare(F.col(f"a_{y}"), F.col(f"{y}_{y}")).alias(f"found_{y}") for y in "bc"])
+    rows = rows.select("*", *[compare_pieces(F.col("a_all"), F.col(f"{y}_all")).alias(f"all_{y}") for y in "bc"])
     return rows.select(
         "doc_id",
         "n_chars",
@@ -222,4 +283,6 @@ def fingerprint_report(documents: DataFrame) -> DataFrame:
         *[render(F.col(f"{x}_at"), F.col(f"{x}_own"), table(F.col(f"{x}_own"), F.lit(CELLS), F.lit(0))).alias(f) for x, f in (("a", "fingerprint"), ("b", "edited_fingerprint"))],
         likeness(F.col("found_b"), F.col("a_b"), F.col("b_b")).alias("near_edited"),
         likeness(F.col("found_c"), F.col("a_c"), F.col("c_c")).alias("near_next"),
+        likeness(F.col("all_b"), F.col("a_all"), F.col("b_all")).alias("like_edited"),
+        likeness(F.col("all_c"), F.col("a_all"), F.col("c_all")).alias("like_next"),
     )

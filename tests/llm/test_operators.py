@@ -423,6 +423,24 @@ def test_peeling_recovers_digests(spark):
             assert r.d.done and sorted(r.d.words) == sorted(set(r.a) ^ set(r.b))
 
 
+def test_scattered_edits_of_long_texts(spark):
+    from presswork.llm import fingerprints as P
+
+    line = [f"sentence {i} of a long text." for i in range(1600)]
+    edited = [f"edited {i}." if i % 40 == 7 else s for i, s in enumerate(line)]
+    word = [f"w{i}" for i in range(400)]
+    pairs = [(" ".join(line), " ".join(edited)), (" ".join(word), " ".join(word[:200] + ["new"] + word[200:])), ("same. " * 3000, "same. " * 2990), ("", "")]
+    df = spark.createDataFrame(pairs, "l string, r string").select(P.pieces(F.col("l")).alias("a"), P.pieces(F.col("r")).alias("b"))
+    out = df.select("a", "b", P.compare_pieces(F.col("a"), F.col("b")).alias("d")).select("*", P.likeness(F.col("d"), F.col("a"), F.col("b")).alias("like")).collect()
+    for r in out:
+        assert r.d.done and len(set(r.a)) == len(r.a) and sorted(r.d.words) == sorted(set(r.a) ^ set(r.b))
+    assert out[0].like == pytest.approx(1 - 40 / 1600) and len(out[0].a) == 1600
+    assert len(out[1].a) > 5 and 0.5 < out[1].like < 1
+    assert len(out[2].a) == 3000 and len(out[2].d.words) == 10 and out[3].like == 1
+    report = {r.doc_id: r for r in P.fingerprint_report(table(spark, [pairs[0][0], pairs[0][1]])).collect()}
+    assert report[0].near_next < 0.3 and report[0].like_next == pytest.approx(1 - 40 / 1600)
+
+
 # Near duplicates -----------------------------------------------------------
 
 
