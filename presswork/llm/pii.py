@@ -6,7 +6,9 @@ the documents that hold the entity, the term, and both are counted; the
 pointwise mutual information of term and entity against the information of the
 entity itself tells how much of it the term discloses. In documents that hold
 the entity, terms that disclose ``GENERALISE`` of it or more are generalised,
-from ``REMOVE`` on they are removed.
+from ``REMOVE`` on they are removed. An entity may be rare: a pair counts if it
+would hardly (``CHANCE``) come together that often by chance. Spellings of one
+value are one entity.
 
 Everything runs on built-in functions. Only documents with direct identifiers
 (written once to the shared folder) take part in the co-occurrence counts; the
@@ -15,14 +17,16 @@ counts of their candidate terms run over all documents.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.common import materialize, text_key
 from presswork.llm.spans import SPAN, count_kind, find_all, gated, labelled, listing
 
-#: Different texts that must hold an entity, and entity and term together, before the counts mean anything.
-MIN_TEXTS = 5
+#: A pair found together in so many texts counts if chance alone makes that less likely than this.
+CHANCE = 0.01
 #: Share of an entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -82,6 +86,12 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
 
+def normal(kind: Column, match: Column) -> Column:
+    """One form for all spellings of an identifier: lower case, no leading zeros, digits only."""
+    form = F.when(kind == "email", F.lower(match)).when(kind == "ip", F.regexp_replace(match, r"(?<![0-9])0+(?=[0-9])", "")).otherwise(_digits(match))
+    return F.concat_ws(":", kind, form)
+
+
 def disclosing_terms(documents: DataFrame, holders: DataFrame) -> DataFrame:
     """entity, term, disclosed: terms that give away ``GENERALISE`` of an entity or more.
 
@@ -96,14 +106,18 @@ def disclosing_terms(documents: DataFrame, holders: DataFrame) -> DataFrame:
         mutual = F.log2(F.col("n_et") * F.lit(total) / (F.col("n_e") * n_t.cast("double")))
         return mutual / F.log2(F.lit(total) / F.col("n_e"))
 
+    def significant(n_t: Column) -> Column:
+        # Chernoff's bound of a Poisson tail; copies of a text are one observation.
+        mean = F.col("texts_e") * n_t.cast("double") / F.lit(total)
+        return (F.col("texts") > mean) & (F.col("texts") - mean - F.col("texts") * F.log(F.col("texts") / mean) <= math.log(CHANCE))
+
     each = holders.select("text_key", F.explode("entities").alias("entity"), "terms")
-    recurring = each.groupBy("entity").agg(F.count_distinct("text_key").alias("texts"), F.count("*").alias("n_e"))
-    recurring = recurring.where((F.col("texts") >= MIN_TEXTS) & (F.col("n_e") < total)).drop("texts")
-    pairs = each.join(recurring, "entity").select("entity", "n_e", "text_key", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "n_e", "term", "text_key").agg(F.count("*").alias("n")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_et"))
+    counts = each.groupBy("entity").agg(F.count_distinct("text_key").alias("texts_e"), F.count("*").alias("n_e")).where(F.col("n_e") < total)
+    pairs = each.select("entity", "text_key", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term", "text_key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_et")).join(counts, "entity")
     here = holders.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_here"))
-    pairs = pairs.where(F.col("texts") >= MIN_TEXTS).join(here, "term").where(disclosed(F.col("n_here")) >= GENERALISE)
-    pairs = materialize(pairs.select("entity", "term", "n_e", "n_et"), "pairs")
+    pairs = pairs.join(here, "term").where((disclosed(F.col("n_here")) >= GENERALISE) & significant(F.col("n_here")))
+    pairs = materialize(pairs.select("entity", "term", "n_e", "n_et", "texts_e", "texts"), "pairs")
     terms = materialize(pairs.select("term").distinct(), "terms")
     if terms.isEmpty():
         words = documents.select(F.lit("").alias("term")).limit(0)
@@ -112,7 +126,7 @@ def disclosing_terms(documents: DataFrame, holders: DataFrame) -> DataFrame:
     # Counted first, joined then: what is joined are terms, not their occurrences.
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     scored = pairs.join(n_t, "term").withColumn("disclosed", disclosed(F.col("n_t")))
-    return scored.where(F.col("disclosed") >= GENERALISE).select("entity", "term", "disclosed")
+    return scored.where((F.col("disclosed") >= GENERALISE) & significant(F.col("n_t"))).select("entity", "term", "disclosed")
 
 
 def find_personal_data(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -130,11 +144,12 @@ def find_personal_data(documents: DataFrame, keep: list[str] | None = None) -> D
     found = rows.withColumn("base", base_spans(F.col("text")))
     holders = found.where(F.size("base") > 0).select("id", "key", text_key("text").alias("text_key"), "text", "base")
     blank = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("by")))
-    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["match"])))
+    entities = F.array_distinct(F.transform("base", lambda s: normal(s["kind"], s["match"])))
     holders = materialize(holders.select("*", entities.alias("entities"), _words(_replace(F.col("text"), blank)).alias("terms")), "holders")
     telling = disclosing_terms(rows, holders)
     once = holders.dropDuplicates(["id", "key"])
-    mine = once.select("id", "key", "terms", F.explode("entities").alias("entity")).join(telling, "entity").where(F.array_contains("terms", F.col("term")))
+    # Joined on both: an entity in many documents has many terms, most of them in one document.
+    mine = once.select("id", "key", "terms", F.explode("entities").alias("entity")).select("id", "key", "entity", F.explode("terms").alias("term")).join(telling, ["entity", "term"])
     mine = mine.groupBy("id", "key", "term").agg(F.max("disclosed").alias("disclosed")).groupBy("id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosed"))).alias("telling"))
     mine = once.alias("h").join(mine.alias("m"), F.col("h.id").eqNullSafe(F.col("m.id")) & (F.col("h.key") == F.col("m.key"))).select("h.id", "h.key", "text", "base", "telling")
     at = find_all(F.col("text"), _TERM, lambda m: F.map_contains_key("telling", F.lower(m)))

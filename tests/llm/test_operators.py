@@ -170,6 +170,20 @@ def test_disclosing_terms_go_and_others_stay(spark):
     assert got == pytest.approx(disclosed)
 
 
+def test_terms_of_rare_identifiers_go(spark):
+    from presswork.llm.pii import find_personal_data, redact
+
+    texts = [f"alpha beta {'gamma' if i % 2 else 'delta'}" for i in range(1000)]
+    texts[3] += " Zanzibar lone@mail.example.com"
+    texts[4] += " Quixote +49 30 123 4567"
+    texts[5] += " Quixote +49 (30) 1234567"
+    docs = table(spark, texts)
+    found = {r.doc_id: [(t.match, t.disclosed) for t in r.terms] for r in find_personal_data(docs).collect()}
+    assert found[3] == [("Zanzibar", 1.0)] and found[4] == found[5] == [("Quixote", 1.0)] and found[6] == []
+    out = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert out[3] == "alpha beta gamma  [EMAIL]" and out[4] == "alpha beta delta  [PHONE]"
+
+
 # Licenses ------------------------------------------------------------------
 
 
