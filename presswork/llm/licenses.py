@@ -14,6 +14,8 @@ one pass over the texts, without a shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,19 +118,22 @@ def rules() -> list[tuple[str, str, str, int]]:
             pattern = form.replace("{name}", f"(?:{name})").replace("{id}", f"(?:{identifier})")
             # A version says more than a family.
             out.append((label, "spdx-license-identifier" if by_id else keyword, rf"(?i)(?<!\w){pattern}", priority + (5 if label[-1].isdigit() else 0)))
+        # A name that says "license" itself stands alone.
+        if "licen" in name:
+            out.append((label, keyword, rf"(?i)(?<!\w)(?:{name})(?!\w|\.[0-9])", 65 if label[-1].isdigit() else 60))
     return out + [(label, keyword, rf"(?i)(?<!\w){pattern}", priority) for label, keyword, pattern, priority in NOTICES]
 
 
 #: Every match of a rule holds one of these, or "under" after a word in -d or -e.
-GATE = ("licen", "permission", "redistribution", "endorse", "free software", "as-is", "public domain", "unencumbered", "rights reserved", "confidential")
+GATE = ("licen", "permission", "redistribution", "endorse", "software", "as-is", "domain", "unencumbered", "reserved", "confidential")
 _PHRASE = rf"(?i)(?<!{_W})(?:" + "|".join(rf"{_S}++".join(p.split()) for p in PHRASES) + rf")(?!{_W})"
 _DETECTION = "array<struct<start:int,end:int,label:string,priority:int>>"
 
 
 def detections(text: Column, low: Column) -> Column:
-    """All matches of all rules whose keyword a text (``low``: lower-cased) holds."""
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(n).alias("priority")) for a, k, p, n in rules()])
-    tried = F.filter(table, lambda r: F.contains(low, r["keyword"]))
+    """All matches of all rules whose keyword a text (``low``: lower-cased) holds, whatever parts its words."""
+    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(re.sub(r"\W+", " ", k)).alias("keyword"), F.lit(p).alias("pattern"), F.lit(n).alias("priority")) for a, k, p, n in rules()])
+    tried = F.element_at(F.transform(F.array(F.regexp_replace(low, r"\W+", " ")), lambda x: F.filter(table, lambda r: F.contains(x, r["keyword"]))), 1)
     return F.flatten(F.transform(tried, lambda r: F.transform(find_all(text, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority")))))
 
 

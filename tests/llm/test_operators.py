@@ -207,6 +207,30 @@ def test_contained_detections_are_suppressed(spark):
     assert found[0] == [("apache-2.0", 85)] and found[1] == [("mit", 100)] and found[2] == [("proprietary", 20)]
 
 
+def test_licenses_are_found_in_wrapped_text(spark):
+    from presswork.llm.licenses import NOTICES, find_licenses
+
+    wrapped = {
+        "GNU General\nPublic License, version 3": "gpl-3.0",
+        "Permission is hereby\n * granted, free of charge, to any person obtaining  a copy": "mit",
+        "Permission to\nuse, copy, modify, and distribute this software": "isc",
+        "Redistribution and\nuse in source and binary forms": "bsd",
+        "may be used to endorse\nor  promote products": "bsd-3-clause",
+        "This program is free\n# software": "gpl",
+        "This software\nis provided 'as-is', without any  express or implied warranty": "zlib",
+        "Released into the public\n  domain": "public-domain",
+        "this is free and\nunencumbered software": "public-domain",
+        "All rights\nreserved.": "proprietary",
+        "Proprietary\nand confidential": "proprietary",
+        "Creative\nCommons Attribution 4.0 License": "cc-by-4.0",
+        "SIL Open  Font License": "ofl-1.1",
+        "the Mozilla\nPublic  License 2.0 license": "mpl-2.0",
+    }
+    assert len(wrapped) > len(NOTICES)
+    for r in find_licenses(table(spark, list(wrapped))).collect():
+        assert list(wrapped.values())[r.doc_id] in [d.label for d in r.detections], r.text
+
+
 # Passages ------------------------------------------------------------------
 
 
