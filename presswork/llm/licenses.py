@@ -87,6 +87,55 @@ LICENSES = (
     ("sspl-1.0", "server side public", r"server\W+side\W+public", r"sspl-1\.0"),
     ("elastic-2.0", "elastic", r"elastic", r"elastic-2\.0"),
 )
+
+
+def _short(name: str, version: str) -> str:
+    """Pattern of a short name with a version: GPLv3, GPL-3.0-or-later, GPL version 3."""
+    number = version.replace(".", r"\.")
+    if version.endswith(".0"):
+        number = number[:-3] + r"(?:\.0)?"
+    return rf"{name}(?:\W*v(?:ersion)?\W*|\W+){number}(?:\+|\W?or\W?later|\W?only)?(?!\w|\.[0-9])"
+
+
+_VERSIONS = {
+    "gpl": ("1.0", "2.0", "3.0"),
+    "lgpl": ("2.0", "2.1", "3.0"),
+    "agpl": ("1.0", "3.0"),
+    "mpl": ("1.0", "1.1", "2.0"),
+    "epl": ("1.0", "2.0"),
+    "cddl": ("1.0", "1.1"),
+    "cpl": ("1.0",),
+    "eupl": ("1.1", "1.2"),
+    "ofl": ("1.0", "1.1"),
+    "afl": ("1.1", "1.2", "2.0", "2.1", "3.0"),
+    "osl": ("1.0", "1.1", "2.0", "2.1", "3.0"),
+    "upl": ("1.0",),
+    "odbl": ("1.0",),
+    "bsl": ("1.0", "1.1"),
+    "sspl": ("1.0",),
+    "apache": ("1.1", "2.0"),
+    "artistic": ("1.0", "2.0"),
+}
+_KINDS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
+#: Usual short names: label, keyword, pattern.
+SHORT = (
+    *[(f"{n}-{v}", n, _short(n, v)) for n, versions in _VERSIONS.items() for v in versions],
+    *[(n, n, rf"{n}(?!\w)") for n in _VERSIONS if n not in ("apache", "artistic", "bsl")],
+    *[(f"cc-{k}-{v}", f"cc {k} {v}", rf"cc\W+{k.replace('-', chr(92) + 'W+')}\W+{v.replace('.', chr(92) + '.')}(?!\w|\.[0-9])") for k in _KINDS for v in ("1.0", "2.0", "2.5", "3.0", "4.0")],
+    *[(f"cc-{k}", f"cc {k}", rf"cc\W+{k.replace('-', chr(92) + 'W+')}(?!\w)") for k in _KINDS],
+    ("bsd-2-clause", "clause bsd", r"(?:2|two)\W+clause\W+bsd"),
+    ("bsd-3-clause", "clause bsd", r"(?:3|three)\W+clause\W+bsd"),
+    ("bsd-4-clause", "clause bsd", r"(?:4|four)\W+clause\W+bsd"),
+    ("cc0-1.0", "cc0", r"cc0(?:\W+1\.0)?(?!\w)"),
+    ("ms-pl", "ms pl", r"ms-pl(?!\w)"),
+    ("ms-rl", "ms rl", r"ms-rl(?!\w)"),
+)
+#: How a short name stands in a notice: pattern, priority.
+SHORT_FORMS = (
+    (r"(?:(?:licen[sc]ed|released|distributed|available|provided|published|covered)\W+)?under\W+(?:an?\W+|the\W+)?(?:terms\W+of\W+)?(?:the\W+)?{name}(?:\W+licen[sc]e)?", 80),
+    (r"{name}\W+licen[sc]ed?(?!\w)", 60),
+    (r"licen[sc]e\W*[:=]\W*{name}", 50),
+)
 #: Notices without a name of their own: label, keyword, pattern, priority.
 NOTICES = (
     ("mit", "permission is hereby granted", r"permission\W+is\W+hereby\W+granted,?\W+free\W+of\W+charge,?\W+to\W+any\W+person\W+obtaining\W+a\W+copy", 90),
@@ -121,11 +170,16 @@ def rules() -> list[tuple[str, str, str, int]]:
         # A name that says "license" itself stands alone.
         if "licen" in name:
             out.append((label, keyword, rf"(?i)(?<!\w)(?:{name})(?!\w|\.[0-9])", 65 if label[-1].isdigit() else 60))
+    for label, keyword, name in SHORT:
+        for form, priority in SHORT_FORMS:
+            out.append((label, keyword, rf"(?i)(?<!\w){form.replace('{name}', f'(?:{name})')}", priority + (5 if re.search(r"\.[0-9]$", label) or label[-1].isdigit() else 0)))
     return out + [(label, keyword, rf"(?i)(?<!\w){pattern}", priority) for label, keyword, pattern, priority in NOTICES]
 
 
-#: Every match of a rule holds one of these, or "under" after a word in -d or -e.
+#: Every match of a rule holds one of these, or what ``_UNDER`` finds.
 GATE = ("licen", "permission", "redistribution", "endorse", "software", "as-is", "domain", "unencumbered", "reserved", "confidential")
+_STEMS = "|".join(sorted({k.split()[0] for _, k, _ in SHORT} | {"[234]", "two", "three", "four"}))
+_UNDER = rf"[de]\W+under|(?<!\w)under\W+(?:an?\W+|the\W+)?(?:terms\W+of\W+)?(?:the\W+)?(?:{_STEMS})"
 _PHRASE = rf"(?i)(?<!{_W})(?:" + "|".join(rf"{_S}++".join(p.split()) for p in PHRASES) + rf")(?!{_W})"
 _DETECTION = "array<struct<start:int,end:int,label:string,priority:int>>"
 
@@ -165,7 +219,7 @@ def find_licenses(documents: DataFrame, keep: list[str] | None = None) -> DataFr
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("low", F.lower("text"))
     text, low = F.col("text"), F.col("low")
-    gate = low.rlike(r"[de]\W+under")
+    gate = F.contains(low, F.lit("under")) & low.rlike(_UNDER)
     for word in GATE:
         gate = gate | F.contains(low, F.lit(word))
     phrases = F.when(F.contains(low, F.lit("license")), find_all(text, _PHRASE)).otherwise(F.array().cast(SPAN))

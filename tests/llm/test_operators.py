@@ -231,6 +231,31 @@ def test_licenses_are_found_in_wrapped_text(spark):
         assert list(wrapped.values())[r.doc_id] in [d.label for d in r.detections], r.text
 
 
+def test_licenses_by_their_short_names(spark):
+    from presswork.llm.licenses import find_licenses
+
+    short = {
+        "Licensed under CC BY-NC 4.0.": {"cc-by-nc-4.0"},
+        "Licensed under\nCC BY 4.0.": {"cc-by-4.0"},
+        "This text is licensed under a CC BY-NC-SA 3.0 license": {"cc-by-nc-sa-3.0"},
+        "License: CC-BY-SA": {"cc-by-sa"},
+        "released under GPLv3": {"gpl-3.0"},
+        "License: GPL-3.0-or-later": {"gpl-3.0"},
+        "under the LGPL 2.1": {"lgpl-2.1"},
+        "MPL-2.0 licensed": {"mpl-2.0"},
+        "available under EPL 2.0": {"epl-2.0"},
+        "License: Apache-2.0": {"apache-2.0"},
+        "under the terms of the AGPL v3": {"agpl-3.0"},
+        "the 3-clause BSD license": {"bsd-3-clause"},
+        "under the GPL": {"gpl"},
+        "Nothing under the sun, replace it": set(),
+    }
+    for r in find_licenses(table(spark, list(short))).collect():
+        got = {d.label for d in r.detections}
+        assert list(short.values())[r.doc_id] <= got and (got or not list(short.values())[r.doc_id]), r.text
+    assert not got
+
+
 # Passages ------------------------------------------------------------------
 
 
