@@ -52,18 +52,22 @@ _NAMES = r"(?i:password|passwd|secret|token|api_?key)"
 _ASSIGN = _NAMES + r"""["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]+"""
 _VALUE = r"""^.*?[:=]\x20*+["']?([A-Za-z0-9+/_.=-]+)$"""
 
+_KEY = r"(?:(?!PRIVATE KEY-----)[A-Z0-9\x20])*+PRIVATE KEY-----"
+#: A key up to its END line, or the BEGIN line alone if none follows before other five dashes.
+_PRIVATE = rf"-----BEGIN {_KEY}(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END {_KEY})?"
+
 #: The base kinds first, in their order.
 RULES = (
     Rule("assign", 1, lambda t: t.rlike(_NAMES + r"""["']?\x20*+[:=]"""), _ASSIGN, lambda m: F.length(F.regexp_extract(m, _VALUE, 1)) >= 12),
     Rule("access", 1, _has("AKIA"), r"AKIA[A-Z0-9]++", lambda m: F.length(m) >= 18),
     Rule("hex", 1, lambda t: t.rlike("[0-9a-f]{16}"), r"[0-9a-f]++", lambda m: F.length(m) >= 16),
-    Rule("private_key", 1, _has("PRIVATE KEY-----"), r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", 2, _has("PRIVATE KEY-----"), _PRIVATE),
     Rule("forge_token", 1, _has("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-"), r"(?:gh[opsur]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})"),
     Rule("chat_token", 1, _has("xox"), r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", 1, _has("eyJ"), r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
     Rule("cloud_key", 1, _has("AIza"), r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment_key", 1, _has("_live_"), r"(?:sk|rk|pk)_live_[A-Za-z0-9]{16,}"),
-    Rule("url_password", 1, _has("://"), r"(?:https?|ftps?|ssh|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\x00-\x20/:@]{1,128}:[^\x00-\x20/@]{1,128}@"),
+    Rule("url_password", 2, _has("://"), r"(?:https?|ftps?|ssh|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\x00-\x20/:@]*+:[^\x00-\x20/@]++@"),
 )
 BASE = ("assign", "access", "hex")
 _FINDINGS = "array<struct<kind:string,rule:string,start:int,end:int>>"

@@ -154,6 +154,19 @@ def test_more_kinds_of_secrets(spark):
     assert "private_key" in kinds[0] and "forge_token" in kinds[1] and "url_password" in kinds[2]
 
 
+def test_whole_keys_and_long_credentials(spark):
+    from presswork.llm.secrets import scan_history
+
+    key = "-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: AES-128\n" + "Ab+/\n" * 20_000 + "-----END RSA PRIVATE KEY-----"
+    begin = "-----BEGIN EC PRIVATE KEY-----"
+    texts = [f"x {key} y", f"{begin} cut off {key}", "redis://:password@host", f"https://{'u' * 300}:{'p' * 5000}@host/"]
+    spans = {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings if f.kind in ("private_key", "url_password")] for r in scan_history(table(spark, texts)).collect()}
+    assert spans[0] == [("private_key", 2, 2 + len(key))]
+    assert spans[1] == [("private_key", 0, len(begin)), ("private_key", len(begin) + 9, len(texts[1]))]
+    assert spans[2] == [("url_password", 0, len("redis://:password@"))]
+    assert spans[3] == [("url_password", 0, len(texts[3]) - 5)]
+
+
 def test_disclosing_terms_go_and_others_stay(spark):
     from presswork.llm.pii import find_personal_data, redact
 
