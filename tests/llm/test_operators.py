@@ -342,7 +342,7 @@ def test_passages_match_brute_force(spark, size):
 
 
 def test_mix_meets_targets(spark):
-    from presswork.llm.mixing import mix, source_targets, stream
+    from presswork.llm.mixing import PACKET, mix, sized, source_targets, stream, with_targets
 
     docs = spark.createDataFrame([(i, "w " * (i % 17 + 1), "en", None if i % 9 == 0 else f"s{i % 5}", 0) for i in range(600)], DOCS)
     mixed = mix(docs)
@@ -352,12 +352,24 @@ def test_mix_meets_targets(spark):
         assert 0 <= r.taken <= 2 * r.size
         by[r.source].append(r)
     for rows in by.values():
-        assert sum(r.taken for r in rows) == math.floor(rows[0].target) and rows[0].target <= 2 * rows[0].source_size
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= PACKET and rows[0].target <= 2 * rows[0].source_size
     targets = {r.source: r.target for r in source_targets(mixed.select("source", "size")).collect()}
     assert sum(targets.values()) == pytest.approx(1.5 * sum(r.size for r in out))
-    order = stream(mixed).collect()
-    assert sum(r.words for r in order) == sum(r.taken for r in out)
+    assert sum(r.taken for r in out) == sum(math.floor(t) for t in targets.values())
+    order = sorted(stream(with_targets(sized(docs))).collect(), key=lambda r: r.at)
     assert [r.finish for r in order] == sorted(r.finish for r in order)
+    assert [r.at for r in order] == [sum(x.words for x in order[:k]) for k in range(len(order))]
+
+
+def test_mix_serves_long_documents_in_packets(spark):
+    from presswork.llm.mixing import PACKET, mix
+
+    docs = spark.createDataFrame([(i, "w " * (20_000 if i in (0, 1) else 30), "en", "a" if i % 3 else "b", 0) for i in range(900)] + [(None, "n " * 40, "en", None, 0)] * 3, DOCS)
+    by = defaultdict(list)
+    for r in mix(docs).collect():
+        by[r.source].append(r)
+    for rows in by.values():
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= PACKET
 
 
 # Decontamination -----------------------------------------------------------
