@@ -571,12 +571,69 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     assert kept == sorted({out[i].group_id for i, t in enumerate(texts) if t} | {i for i, t in enumerate(texts) if not t})
 
 
-def test_prefix_is_shortened_to_the_recall():
-    from presswork.llm.ngram_join import prefix_length
+def test_prefixes_are_shortened_to_the_recall_wanted():
+    import numpy as np
 
-    assert prefix_length(30, 12, 0.9) > prefix_length(30, 12, 0.99999) > prefix_length(3, 12, 0.99999)
-    k = prefix_length(30, 12, 0.999)
-    assert 1 - (1 - 0.8**k) ** 30 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 30
+    from presswork.llm.ngram_join import BINS, DEEPEST, SHORTEST, shorten
+
+    alike, least = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+    alike[-1] = least[0] = 10**9
+    assert shorten(alike, DEEPEST, recall=0.999) == DEEPEST > shorten(least, DEEPEST, recall=0.999) >= shorten(least, DEEPEST) >= SHORTEST
+    assert shorten(np.zeros(BINS, np.int64), DEEPEST) == shorten(least, DEEPEST)  # nothing found proves nothing
+
+
+def test_prefixes_of_signatures():
+    import numpy as np
+
+    from presswork.llm.ngram_join import DEEPEST, prefixes
+
+    words = np.random.default_rng(1).integers(0, 2**63, (2, 3, 2)).astype(np.uint64)
+    for depth in range(1, DEEPEST + 1):
+        other = words.copy()
+        if depth < DEEPEST:  # what lies behind the prefix doesn't count
+            other[..., depth // 4] ^= np.uint64(1) << np.uint64(48 - 16 * (depth % 4))
+        assert (prefixes(words, depth) == prefixes(other, depth)).all()
+        other[..., (depth - 1) // 4] ^= np.uint64(1) << np.uint64(48 - 16 * ((depth - 1) % 4))
+        assert (prefixes(words, depth) != prefixes(other, depth)).all()
+        assert len(set(prefixes(words[:1].repeat(1, 0), depth).ravel().tolist())) == 3
+
+
+def test_long_chains_are_compared_trie_node_by_trie_node(spark, monkeypatch):
+    """Each text is like the next few only, but all hang together."""
+    from presswork.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    seen = []
+    units = ngram_join._units
+    monkeypatch.setattr(ngram_join, "_units", lambda *a: seen.append(out := units(*a)) or out)
+    texts = [" ".join(f"w{k}" for k in range(3 * i, 3 * i + 60)) for i in range(500)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = {i: sum(i != j and 9 * len(a & b) >= 4 * (len(a) + len(b)) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    out = {r.doc_id: r for r in ngram_join.ngram_report(table(spark, texts)).collect()}
+    assert {i: r.n_links for i, r in out.items()} == links and {r.group_id for r in out.values()} == {0}
+    assert any(u.where("tree >= 0").count() for u in seen)
+
+
+def test_planted_near_copies_are_found(spark):
+    """Copies with a share of their words changed: at least 0.9 of the links, here all of them."""
+    import random
+
+    from presswork.llm import ngram_join
+
+    draw = random.Random(7)
+    texts = []
+    for g in range(40):
+        base = [f"g{g}w{draw.randrange(10**6)}" for _ in range(draw.choice((60, 150, 400)))]
+        for c in range(5):
+            words = list(base)
+            for k in draw.sample(range(len(words)), c * len(words) // 100):
+                words[k] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    real = {i: sum(i != j and 9 * len(a & b) >= 4 * (len(a) + len(b)) for j, b in enumerate(sets) if i // 5 == j // 5 and a != b) for i, a in enumerate(sets)}
+    out = {r.doc_id: r.n_links for r in ngram_join.ngram_report(table(spark, texts)).collect()}
+    assert sum(real.values()) > 300 and all(out[i] <= real[i] for i in real)
+    assert sum(out.values()) >= 0.9 * sum(real.values())
 
 
 def test_components(spark):
