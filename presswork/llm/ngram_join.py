@@ -308,18 +308,19 @@ def _verify(trees: int, depth: int):
     return run
 
 
-def _units(near: DataFrame, classes: DataFrame, trees: int, depth: int) -> DataFrame:
+def _units(near: DataFrame, classes: DataFrame, trees: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """What is compared: node, root, unit, tree, blocks for every class of ``near`` (node, root).
 
     A unit is a component (tree -1) or, where that moves less text, each trie
-    node of a component with two classes or more.
+    node of a component with two classes or more; the roots of components that
+    go by trie nodes come second.
     """
     members = near.join(classes.select("node", "n", "keys"), "node")
     whole = members.groupBy("root").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     whole = materialize(whole, "blocks")
     large = whole.where(F.col("blocks") > 1)
     if large.isEmpty():
-        return near.join(whole, "root").select("node", "root", F.col("root").alias("unit"), F.lit(-1).alias("tree"), "blocks")
+        return near.join(whole, "root").select("node", "root", F.col("root").alias("unit"), F.lit(-1).alias("tree"), "blocks"), large.select("root")
     leaves = members.join(large.select("root"), "root").select("node", "root", "keys").mapInArrow(_nodes_of(trees, depth), "node long, root long, tree int, unit long")
     leaves = materialize(leaves.join(classes.select("node", "n"), "node"), "leaves")
     nodes = leaves.groupBy("root", "tree", "unit").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks")).where(F.col("m") > 1)
@@ -329,12 +330,16 @@ def _units(near: DataFrame, classes: DataFrame, trees: int, depth: int) -> DataF
     by_node = materialize(by_node, "by-node")
     one = near.join(whole, "root").join(by_node, "root", "left_anti").select("node", "root", F.col("root").alias("unit"), F.lit(-1).alias("tree"), "blocks")
     split = leaves.join(by_node, "root").join(nodes.select("root", "tree", "unit", "blocks"), ["root", "tree", "unit"]).select("node", "root", "unit", "tree", "blocks")
-    return one.unionByName(split)
+    return one.unionByName(split), by_node
 
 
-def _compare(rows: DataFrame, classes: DataFrame, near: DataFrame, n_classes: int, trees: int, depth: int) -> DataFrame:
-    """node, n_links, n_near, top, bins, stored: links inside the components ``near`` (node, root)."""
-    units = _units(near, classes, trees, depth).join(classes.select("node", "id", "row", "docs", "keys"), "node")
+def _compare(rows: DataFrame, classes: DataFrame, near: DataFrame, n_classes: int, trees: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """node, n_links, n_near, top, bins, stored: links inside the components ``near`` (node, root).
+
+    Besides, the roots of components of which not all pairs were compared.
+    """
+    units, by_node = _units(near, classes, trees, depth)
+    units = units.join(classes.select("node", "id", "row", "docs", "keys"), "node")
     split = F.col("blocks") > 1
     units = units.withColumn("block", F.when(split, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(-1).cast("int"))
     other = F.explode(F.when(split, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1))))
@@ -345,7 +350,7 @@ def _compare(rows: DataFrame, classes: DataFrame, near: DataFrame, n_classes: in
     units = units.select("id", "row", "node", "unit", "tree", "docs", "block", "i", "j", task.alias("task"), keys.alias("keys"))
     work = rows.join(units, rows["id"].eqNullSafe(units["id"]) & (rows["row"] == units["row"])).select("node", "unit", "tree", "docs", "block", "i", "j", "task", "keys", "text")
     found = work.groupBy("task", "tree", "i", "j").applyInArrow(_verify(trees, depth), "node long, n_links long, n_near long, top long, bins binary")
-    return materialize(found, "links")
+    return materialize(found, "links"), by_node
 
 
 def _binned_links(found: DataFrame) -> np.ndarray:
@@ -392,13 +397,13 @@ def join_near(documents: DataFrame, trees: int = TREES, recall: float = RECALL)
         shape = near.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
         shape = materialize(shape, "shape")
         if found is None:
-            found = _compare(rows, classes, near, n_classes, trees, depth)
+            found, by_node = _compare(rows, classes, near, n_classes, trees, depth)
         else:
-            # Only components that this length made larger are compared again.
+            # Only components that this length made larger, or that go by trie nodes, are compared again.
             fresh = near.join(materialize(shape.join(known, ["root", "m", "sum"], "left_anti").select("root"), "fresh"), "root").select("node", "root")
-            more = _compare(rows, classes, fresh, n_classes, trees, depth)
+            more, by_node = _compare(rows, classes, fresh, n_classes, trees, depth)
             found = materialize(found.join(fresh.select("node"), "node", "left_anti").unionByName(more), "links")
-        known = shape
+        known = shape.join(by_node, "root", "left_anti")
         shorter = shorten(_binned_links(found), depth, trees, recall)
         if shorter == depth:
             break

@@ -602,11 +602,11 @@ def test_long_chains_are_compared_trie_node_by_trie_node(spark, monkeypatch):
     """Each text is like the next few only, but all hang together."""
     from presswork.llm import ngram_join
 
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
     seen = []
     units = ngram_join._units
-    monkeypatch.setattr(ngram_join, "_units", lambda *a: seen.append(out := units(*a)) or out)
-    texts = [" ".join(f"w{k}" for k in range(3 * i, 3 * i + 60)) for i in range(500)]
+    monkeypatch.setattr(ngram_join, "_units", lambda *a: seen.append((out := units(*a))[0]) or out)
+    texts = [" ".join(f"w{k}" for k in range(3 * i, 3 * i + 60)) for i in range(300)]
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
     links = {i: sum(i != j and 9 * len(a & b) >= 4 * (len(a) + len(b)) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
     out = {r.doc_id: r for r in ngram_join.ngram_report(table(spark, texts)).collect()}
