@@ -30,10 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presswork.llm import kernels as K
-from presswork.llm.common import materialize, ship
-
-_LAST = (1 << 63) - 1
-
+from presswork.llm.common import materialize, numbered, ship
 
 @cache
 def difference_cover(q: int) -> tuple[int, tuple[int, ...]]:
@@ -264,11 +261,12 @@ def repeats(documents: DataFrame, plan: Plan, finish: Callable[[pa.Array, list[n
     ``finish`` gets the texts of a chunk, of each the tokens covered by repeated
     windows (true where covered) and the numbers of tokens, and returns the
     columns of ``result``. A null text has no tokens; a null id counts as larger
-    than any other; rows that repeat are rows of their own.
+    than any other, and ids may be of any type that sorts; rows that repeat are
+    rows of their own.
     """
     spark = documents.sparkSession
     ship(spark)
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.col("text").alias("text"))
+    rows = numbered(documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "doc_id", F.col("text").alias("text"))).select("row", "id", "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-total // plan.chunk_bytes))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))

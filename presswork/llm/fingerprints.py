@@ -1,26 +1,24 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
-A text is cut at line ends and sentence ends. A paragraph ends at a sentence
-whose hash is 0 modulo 2**level; the level grows with the number of sentences,
-so that a text of any length has about ``PARAGRAPHS`` paragraphs and a change
-touches only those around it. Each gets a 40-bit digest (with the number of its
-occurrence, so that repeats count) and a 24-bit check, together one word.
+A text is cut at line ends and sentence ends; a sentence of more than ``LONG``
+characters is cut at words that a hash chooses. Every piece, however many a text
+has, gets a 40-bit digest (with the number of its occurrence, so that repeats
+count) and a 24-bit check, together one word.
 
 A table has cells in three parts; a word goes into one cell of each part, by
 exclusive or. Tables of two versions subtract the same way; what both hold
 cancels out. A cell whose check fits holds a single word: peeling takes it out
 of its other cells until none is left, and gives back the digests that only one
-version has. If a table is too small for the difference and does not peel,
-larger ones, with other cells, are built and peeled.
+version has.
 
-Versions are also compared piece by piece: every sentence is a piece, one of
-more than ``LONG`` characters is cut at words a hash chooses, and nothing is
-folded however long the text. The words of both versions fall into parts by
-their value, each with tables of its own, so that work grows little faster than
-the number of pieces; what the parts give back are the pieces that differ.
+The fingerprint of a text is its number of pieces and its table of ``CELLS``
+cells, the same for all texts, so any two can be subtracted. If the difference
+is too much for that many cells, larger tables are built: the words of both
+versions fall into parts by their value, each with a table for as many words as
+it holds, and a part that still does not peel is tried again with twice the
+cells, ``TRIES`` times; after that its words are compared one by one.
 
-The fingerprint of a text is its table of ``CELLS`` cells as a string. All of it
-runs on built-in functions; a table is an array of 64-bit numbers.
+All of it runs on built-in functions; a table is an array of 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -30,16 +28,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswork.llm.common import LAST, numbered
+
 #: Cells of a fingerprint (a multiple of 3).
 CELLS = 24
-#: Paragraphs of a long text, about.
-PARAGRAPHS = 16
 #: Characters from which a sentence is cut into runs of about 2**``RUN_LEVEL`` words.
 LONG = 400
 RUN_LEVEL = 4
 #: Words of both versions in a part, about.
-PART_WORDS = 32
-#: Larger tables tried one after the other, each with twice the cells.
+PART_WORDS = 4
+#: Tables tried for a part, each with twice the cells.
 TRIES = 6
 #: Rounds of peeling; a table that peels takes few.
 ROUNDS = 30
@@ -47,8 +45,9 @@ ROUNDS = 30
 RANGE_BYTES = 2 << 20
 #: Ranges of ids by quantile, at most; more ranges divide these evenly.
 QUANTILES = 256
+#: Ranges that are looked through in one task for the range that follows.
+RING = 1024
 
-_LAST = (1 << 63) - 1
 _SENTENCE = r"[\n\r]+|(?<=[.!?])\x20+"
 _WORDS = "array<bigint>"
 _CHECK = (1 << 24) - 1
@@ -63,28 +62,17 @@ def _zero() -> Column:
     return F.lit(0).cast("bigint")
 
 
-def sentences(text: Column) -> Column:
-    """Hashes of the sentences of a text, in order."""
-    return F.transform(F.filter(F.split(text, _SENTENCE), lambda p: p != ""), lambda p: F.xxhash64(p))
-
-
-def level(hashes: Column) -> Column:
-    """The level at which this many sentences make about ``PARAGRAPHS`` paragraphs."""
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(hashes), F.lit(1)) / F.lit(PARAGRAPHS)))).cast("int")
-
-
 def _word(digest: Column) -> Column:
     key = F.shiftrightunsigned(digest, 24)
     return F.shiftleft(key, 24).bitwiseOR(F.xxhash64(key).bitwiseAND(F.lit(_CHECK)))
 
 
-def _runs(hashes: Column, at: Column) -> Column:
-    """Digests of runs of hashes that end where a hash is 0 modulo 2**level."""
-    every = F.pow(F.lit(2), at).cast("bigint")
+def _runs(hashes: Column) -> Column:
+    """Digests of runs of hashes that end where a hash is 0 modulo 2**``RUN_LEVEL``."""
 
     def cut(s: Column, h: Column) -> Column:
         def put(now: Column) -> Column:
-            ends = F.pmod(F.shiftright(h, 7), every) == 0
+            ends = F.shiftright(h, 7).bitwiseAND(F.lit((1 << RUN_LEVEL) - 1)) == 0
             return F.struct(F.when(ends, _zero()).otherwise(now).alias("now"), F.when(ends, F.concat(s["out"], F.array(now))).otherwise(s["out"]).alias("out"))
 
         return _let(F.xxhash64(s["now"], h), put)
@@ -93,23 +81,11 @@ def _runs(hashes: Column, at: Column) -> Column:
     return F.aggregate(hashes, begin, cut, lambda s: F.when(s["now"] == 0, s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))))
 
 
-def digests(hashes: Column, at: Column) -> Column:
-    """Words of the paragraphs of a text at a level: a set, repeats are numbered."""
-    paragraphs = _runs(hashes, at)
-
-    def number(s: Column, p: Column) -> Column:
-        again = F.when(p == s["last"], s["k"] + 1).otherwise(F.lit(0))
-        return _let(again, lambda k: F.struct(p.alias("last"), k.alias("k"), F.concat(s["out"], F.array(_word(F.xxhash64(p, k)))).alias("out")))
-
-    begin = F.struct(_zero().alias("last"), F.lit(0).alias("k"), F.array().cast(_WORDS).alias("out"))
-    return F.aggregate(F.array_sort(paragraphs), begin, number, lambda s: s["out"])
-
-
 def pieces(text: Column) -> Column:
     """Words of all pieces of a text: a set, repeats are numbered; in time linear in them but for sorting."""
 
     def cut(p: Column) -> Column:
-        runs = _runs(F.transform(F.split(p, r"\x20+"), lambda w: F.xxhash64(w)), F.lit(RUN_LEVEL))
+        runs = _runs(F.transform(F.split(p, r"\x20+"), lambda w: F.xxhash64(w)))
         return F.when(F.length(p) > LONG, runs).otherwise(F.array(F.xxhash64(_zero(), F.xxhash64(p))))
 
     def number(s: Column) -> Column:
@@ -118,7 +94,9 @@ def pieces(text: Column) -> Column:
         def run(b: Column) -> Callable[[Column, Column], Column]:
             return lambda i, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(b, j + 1), F.size(s)) - i - 1), lambda k: _word(F.xxhash64(F.get(s, i), k)))
 
-        return F.when(F.size(s) == 0, F.array().cast(_WORDS)).otherwise(_let(begins, lambda b: F.flatten(F.transform(b, run(b)))))
+        alone = F.transform(s, lambda p: _word(F.xxhash64(p, F.lit(0))))
+        repeats = _let(begins, lambda b: F.flatten(F.transform(b, run(b))))
+        return F.when(F.size(F.array_distinct(s)) == F.size(s), alone).otherwise(repeats)
 
     every = F.filter(F.split(text, _SENTENCE), lambda p: p != "")
     return _let(F.sort_array(F.flatten(F.transform(every, cut))), number)
@@ -148,60 +126,67 @@ def peel(difference: Column, cells: Column, attempt: Column) -> Column:
 
     def round_(s: Column, _: Column) -> Column:
         def take(p: Column) -> Column:
-            return F.when(F.size(p) == 0, s).otherwise(F.struct(subtract(s["cells"], table(p, cells, attempt)).alias("cells"), F.concat(s["out"], p).alias("out")))
+            left = F.when(F.size(p) == 0, s["cells"]).otherwise(subtract(s["cells"], table(p, cells, attempt)))
+            return F.struct(left.alias("cells"), F.concat(s["out"], p).alias("out"), (F.size(p) > 0).alias("more"))
 
-        return _let(F.array_distinct(F.filter(s["cells"], pure)), take)
+        return F.when(s["more"], _let(F.array_distinct(F.filter(s["cells"], pure)), take)).otherwise(s)
 
-    begin = F.struct(difference.alias("cells"), F.array().cast(_WORDS).alias("out"))
+    begin = F.struct(difference.alias("cells"), F.array().cast(_WORDS).alias("out"), F.lit(True).alias("more"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, round_, lambda s: F.struct(F.forall(s["cells"], lambda v: v == 0).alias("done"), s["out"].alias("words")))
 
 
-def compare(a: Column, b: Column) -> Column:
-    """done, words: the words that only one of two sets (columns) has, by tables alone."""
+def differing(words: Column) -> Column:
+    """Those of ``words`` (of two sets, end to end) that only one set has, by a table for as many words.
 
-    def attempt(cells: Column, r: Column) -> Column:
-        return peel(subtract(table(a, cells, r), table(b, cells, r)), cells, r)
+    The subtracted table of two sets is that of both together: what both hold
+    cancels out. It is built larger until it peels; the last resort is to count.
+    """
 
-    def again(s: Column, r: Column) -> Column:
-        # Half as many cells again as both sides have words: enough even if nothing is shared.
-        need = (F.ceil((F.size(a) + F.size(b)) / 2).cast("int") + 4) * 3 * F.pow(F.lit(2), r - 1).cast("int")
-        return F.when(s["done"], s).otherwise(_let(need, lambda cells: attempt(cells, r)))
+    def attempt(s: Column, r: Column) -> Column:
+        # More than half as many cells again as words: enough even if nothing is shared.
+        need = (F.ceil(F.size(words) * 0.55).cast("int") + 1) * 3 * F.pow(F.lit(2), r - 1).cast("int")
+        return F.when(s["done"], s).otherwise(_let(need, lambda cells: peel(table(words, cells, r), cells, r)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), attempt(F.lit(CELLS), F.lit(0)), again)
+    begin = F.struct((F.size(words) == 0).alias("done"), F.array().cast(_WORDS).alias("words"))
+    once = F.filter(words, lambda w: F.size(F.filter(words, lambda x: x == w)) == 1)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), begin, attempt, lambda s: F.when(s["done"], s["words"]).otherwise(once))
 
 
-def compare_pieces(a: Column, b: Column) -> Column:
-    """done, words: :func:`compare` of sets (columns) of any size, part by part.
+def compare_parts(a: Column, b: Column) -> Column:
+    """The words that only one of two sets (columns) has: :func:`differing` part by part.
 
-    Parts are split off in two steps of as many parts each.
+    Parts are ranges of the words' values, so each takes a slice of all words in order.
     """
-    side = F.ceil(F.sqrt((F.size(a) + F.size(b)) / F.lit(PART_WORDS))).cast("int")
 
-    def parts(words: Column, n: Column, bits: int) -> Callable[[Column], Column]:
-        return lambda i: F.filter(words, lambda w: F.pmod(F.shiftrightunsigned(w, bits), n.cast("bigint")) == i)
+    def split(words: Column) -> Column:
+        shift = F.lit(64) - F.greatest(F.ceil(F.log2(F.size(words) / F.lit(PART_WORDS))).cast("int"), F.lit(1))
+
+        def cut(n: Column) -> Column:
+            # A shift by a column is not a function of Spark's API for columns; by a power it is the same.
+            part = lambda i: F.floor(F.get(words, i) / F.pow(F.lit(2.0), n))
+            begins = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (part(i) != part(i - 1)))
+            return _let(begins, lambda at: F.flatten(F.transform(at, lambda i, j: _let(F.slice(words, i + 1, F.coalesce(F.get(at, j + 1), F.size(words)) - i), differing))))
 
-    def both(x: Column, y: Column, n: Column, bits: int, body: Callable[[Column], Column]) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: _let(F.struct(parts(x, n, bits)(i).alias("x"), parts(y, n, bits)(i).alias("y")), body))
+        return _let(shift, cut)
 
-    def split(n: Column) -> Column:
-        inner = lambda p: both(p["x"], p["y"], n, 44, lambda q: compare(q["x"], q["y"]))
-        return F.flatten(both(a, b, n, 24, inner))
+    return F.when(F.size(a) + F.size(b) == 0, F.array().cast(_WORDS)).otherwise(_let(F.sort_array(F.concat(a, b)), split))
 
-    def joined(found: Column) -> Column:
-        return F.struct(F.forall(found, lambda f: f["done"]).alias("done"), F.flatten(F.transform(found, lambda f: f["words"])).alias("words"))
 
-    return _let(_let(F.greatest(side, F.lit(1)), split), joined)
+def difference(a: Column, b: Column, table_a: Column, table_b: Column) -> Column:
+    """The words that only one of two sets has: by their fingerprints' tables, by larger ones if those do not peel."""
+    small = peel(subtract(table_a, table_b), F.lit(CELLS), F.lit(0))
+    return _let(small, lambda s: F.when(s["done"], s["words"]).otherwise(compare_parts(a, b)))
 
 
-def likeness(found: Column, a: Column, b: Column) -> Column:
-    """Share of words that both have; 1 for two texts without any, 0 if nothing peeled."""
+def likeness(differing: Column, a: Column, b: Column) -> Column:
+    """Share of words that both have; 1 for two texts without any."""
     total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).when(~found["done"], F.lit(0.0)).otherwise(F.lit(1.0) - F.size(found["words"]) / total)
+    return F.when(total == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.size(differing) / total)
 
 
-def render(at: Column, words: Column, cells: Column) -> Column:
-    """A fingerprint table as text: level, number of paragraphs, cells."""
-    return F.concat_ws(":", at.cast("string"), F.size(words).cast("string"), F.array_join(F.transform(cells, lambda v: F.hex(v)), "."))
+def render(words: Column, cells: Column) -> Column:
+    """A fingerprint as text: number of pieces, cells."""
+    return F.concat_ws(":", F.size(words).cast("string"), F.array_join(F.transform(cells, lambda v: F.hex(v)), "."))
 
 
 def with_next(rows: DataFrame) -> DataFrame:
@@ -209,32 +194,45 @@ def with_next(rows: DataFrame) -> DataFrame:
 
     Rows go to ranges of ids, once, with their text; the last row of a range
     takes the first text of the next range that has any. Equal ids are ordered
-    by text.
+    by a hash of the text, then by text; those without an id (``LAST``) have
+    ranges of that hash.
     """
+    known = F.col("id") != LAST
     total, low = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.min("id"), F.lit(0))).first()
     wanted = max(1, -(-total // RANGE_BYTES))
     n = min(wanted, QUANTILES)
-    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    cuts = rows.where(known).agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts if n > 1 else []))
     bounds = [low, *[c for c in cuts if c > low]]
     inner = -(-wanted // n)
     lows = F.array(*[F.lit(b).cast("bigint") for b in bounds])
     k = F.greatest(F.size(F.filter(lows, lambda b: b <= F.col("id"))), F.lit(1))
     if inner > 1:
-        high = F.coalesce(F.get(lows, k), F.lit(_LAST))
+        high = F.coalesce(F.get(lows, k), F.lit(LAST))
         here = F.element_at(lows, k)
         sub = F.least(F.floor((F.col("id").cast("double") - here) / (high.cast("double") - here) * inner), F.lit(inner - 1)).cast("bigint")
     else:
         sub = F.lit(0).cast("bigint")
-    rows = rows.withColumn("range", k.cast("bigint") * inner + sub)
-    within = Window.partitionBy("range").orderBy("id", "text")
+    rows = rows.withColumn("turn", F.xxhash64("text"))
+    # Of a hash, the 20 high bits say the range.
+    beyond = F.lit((len(bounds) + 2) * inner) + F.floor((F.shiftright("turn", 44) + F.lit(1 << 19)) * wanted / F.lit(1 << 20)).cast("bigint")
+    rows = rows.withColumn("range", F.when(known, k.cast("bigint") * inner + sub).otherwise(beyond))
+    within = Window.partitionBy("range").orderBy("id", "turn", "text")
     rows = rows.withColumn("after", F.lead(F.struct("text")).over(within))
     firsts = rows.withColumn("nth", F.row_number().over(within)).where("nth = 1").select("range", F.col("text").alias("first_text"))
-    order = Window.orderBy("range")
-    ranges = rows.select("range").distinct()
-    ring = ranges.select("range", F.coalesce(F.lead("range").over(order), F.first("range").over(order)).alias("next_range"))
+    # The range that follows: inside a block of ranges, then the first of the next block.
+    ranges = rows.select("range").distinct().withColumn("block", F.floor(F.col("range") / RING))
+    order = Window.orderBy("block")
+    blocks = ranges.groupBy("block").agg(F.min("range").alias("head"))
+    blocks = blocks.select("block", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("next_head"))
+    inside = ranges.withColumn("follows", F.lead("range").over(Window.partitionBy("block").orderBy("range")))
+    ring = inside.join(blocks, "block").select("range", F.coalesce("follows", "next_head").alias("next_range"))
     heads = ring.join(firsts.withColumnRenamed("range", "next_range"), "next_range").select("range", "first_text")
-    return rows.join(heads, "range").withColumn("next_text", F.when(F.col("after").isNull(), F.col("first_text")).otherwise(F.col("after.text"))).drop("after", "first_text", "range")
+    return rows.join(heads, "range").withColumn("next_text", F.when(F.col("after").isNull(), F.col("first_text")).otherwise(F.col("after.text"))).drop("after", "first_text", "range", "turn")
+
+
+def _table(words: Column) -> Column:
+    return table(words, F.lit(CELLS), F.lit(0))
 
 
 def fingerprint(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -245,44 +243,31 @@ def fingerprint(documents: DataFrame, keep: list[str] | None = None) -> DataFram
     names are replaced; an empty table stays empty.
     """
     names = [c for c in (documents.columns if keep is None else keep) if c not in ("digests", "fingerprint")]
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), sentences(F.coalesce("text", F.lit(""))).alias("s"))
-    rows = rows.select("row", level(F.col("s")).alias("at"), digests(F.col("s"), level(F.col("s"))).alias("digests"))
-    rows = rows.select("*", render(F.col("at"), F.col("digests"), table(F.col("digests"), F.lit(CELLS), F.lit(0))).alias("fingerprint"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), pieces(F.coalesce("text", F.lit(""))).alias("digests"))
+    rows = rows.select("row", "digests", render(F.col("digests"), _table(F.col("digests"))).alias("fingerprint"))
     return rows.select(*[F.col("row").getField(c).alias(c) for c in names], "digests", "fingerprint")
 
 
 def fingerprint_report(documents: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited versions, and how alike they are (query ``op4``).
 
-    ``near_edited`` and ``near_next`` compare two texts at the higher of their
-    levels, ``like_edited`` and ``like_next`` piece by piece.
+    ``near_*`` is the share of pieces that two texts have in common, from what
+    their tables give back. Ids may be of any type that sorts; a null id follows
+    all others, equal ids are in the order of a hash of their texts.
     """
-    rows = with_next(documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = numbered(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = with_next(rows)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[f(F.col(c)).alias(x + y) for x, c in (("a", "text"), ("b", "edited"), ("c", "next_text")) for f, y in ((sentences, ""), (pieces, "_all"))])
-    rows = rows.select("*", *[level(F.col(x)).alias(f"{x}_at") for x in "abc"])
-    high = {x: F.greatest("a_at", f"{x}_at") for x in "bc"}
-    rows = rows.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        "a_at",
-        "b_at",
-        *[f"{x}_all" for x in "abc"],
-        *[digests(F.col(x), F.col(f"{x}_at")).alias(f"{x}_own") for x in "ab"],
-        *[digests(F.col(x), high[y]).alias(f"{x}_{y}") for y in "bc" for x in ("a", y)],
-    )
-    rows = rows.select("*", *[compare(F.col(f"a_{y}"), F.col(f"{y}_{y}")).alias(f"found_{y}") for y in "bc"])
-    rows = rows.select("*", *[compare_pieces(F.col("a_all"), F.col(f"{y}_all")).alias(f"all_{y}") for y in "bc"])
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[pieces(F.col(c)).alias(x) for x, c in (("a", "text"), ("b", "edited"), ("c", "next_text"))])
+    rows = rows.select("*", *[_table(F.col(x)).alias(f"table_{x}") for x in "abc"])
+    rows = rows.select("*", *[difference(F.col("a"), F.col(x), F.col("table_a"), F.col(f"table_{x}")).alias(f"differ_{x}") for x in "bc"])
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        *[render(F.col(f"{x}_at"), F.col(f"{x}_own"), table(F.col(f"{x}_own"), F.lit(CELLS), F.lit(0))).alias(f) for x, f in (("a", "fingerprint"), ("b", "edited_fingerprint"))],
-        likeness(F.col("found_b"), F.col("a_b"), F.col("b_b")).alias("near_edited"),
-        likeness(F.col("found_c"), F.col("a_c"), F.col("c_c")).alias("near_next"),
-        likeness(F.col("all_b"), F.col("a_all"), F.col("b_all")).alias("like_edited"),
-        likeness(F.col("all_c"), F.col("a_all"), F.col("c_all")).alias("like_next"),
+        *[render(F.col(x), F.col(f"table_{x}")).alias(f) for x, f in (("a", "fingerprint"), ("b", "edited_fingerprint"))],
+        likeness(F.col("differ_b"), F.col("a"), F.col("b")).alias("near_edited"),
+        likeness(F.col("differ_c"), F.col("a"), F.col("c")).alias("near_next"),
     )
