@@ -439,50 +439,73 @@ def test_language_accuracy_on_held_out(spark):
 # Fingerprints --------------------------------------------------------------
 
 
-def cut(text):
-    """Hashes of the sentences of a text, as signed numbers."""
-    return [signed(xxhash.xxh64_intdigest(p.encode(), 42)) for p in re.split(r"[\n\r]+|(?<=[.!?])\x20+", text) if p]
+def spark_hash(*parts):
+    """xxhash64 of Spark: strings, longs, and ints (given as bytes of their width)."""
+    seed = 42
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x, seed=seed)
+    return seed
+
+
+def as_long(x):
+    return x.to_bytes(8, "little")
+
+
+def as_int(x):
+    return x.to_bytes(4, "little")
+
+
+def piece_words(text):
+    """The words of a text, made anew."""
+    found = Counter()
+    for p in re.split(r"[\n\r]+|(?<=[.!?])\x20+", text):
+        if len(p) > 400:
+            now = 0
+            for w in re.split(r"\x20+", p):
+                h = spark_hash(w)
+                now = spark_hash(as_long(now), as_long(h))
+                if (h >> 7) % 16 == 0:
+                    found[now] += 1
+                    now = 0
+            if now:
+                found[now] += 1
+        elif p:
+            found[spark_hash(as_long(0), as_long(spark_hash(p)))] += 1
+    keys = [spark_hash(as_long(d), as_int(k)) >> 24 for d, n in found.items() for k in range(n)]
+    return {k << 24 | spark_hash(as_long(k)) & 0xFFFFFF for k in keys}
+
+
+def sketch(words):
+    cells = [0] * 24
+    for w in words:
+        for j in range(3):
+            signed = (spark_hash(as_long(w), as_int(0), as_int(j)) ^ 1 << 63) - (1 << 63)
+            cells[8 * j + signed % 8] ^= w
+    return f"{len(words)}:" + ".".join(f"{c:X}" for c in cells)
 
 
-def signed(n):
-    return n - (1 << 64) if n >> 63 else n
-
-
-def paragraphs(hashes, level):
-    """Paragraphs at a level, each the tuple of its sentences, with their number."""
-    out, now = Counter(), []
-    for h in hashes:
-        now.append(h)
-        if (h >> 7) % (1 << level) == 0:
-            out[tuple(now)] += 1
-            now = []
-    if now:
-        out[tuple(now)] += 1
-    return out
+def like(a, b):
+    return 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def like(a, b):
-    """Likeness of two texts at the higher of their levels, and both levels."""
-    x, y = cut(a), cut(b)
-    levels = [max(0, math.ceil(math.log2(max(1, len(h)) / 16))) for h in (x, y)]
-    p, q = paragraphs(x, max(levels)), paragraphs(y, max(levels))
-    total = sum(p.values()) + sum(q.values())
-    return 1.0 if not total else 1 - (sum((p - q).values()) + sum((q - p).values())) / total
+def check_fingerprints(texts, out):
+    for i, t in enumerate(texts):
+        after, half = texts[(i + 1) % len(texts)], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b, c = (piece_words(x) for x in (t, edited, after))
+        assert (out[i].n_chars, out[i].edited_sha256) == (len(t), sha(edited))
+        assert (out[i].fingerprint, out[i].edited_fingerprint) == (sketch(a), sketch(b))
+        assert out[i].near_edited == pytest.approx(like(a, b)) and out[i].near_next == pytest.approx(like(a, c))
 
 
 def test_fingerprints_match_brute_force(spark, monkeypatch):
     from presswork.llm import fingerprints
 
     monkeypatch.setattr(fingerprints, "RANGE_BYTES", 300)
-    texts = ["One. Two.\nThree. One. One.", "", None, "One. Two.\nThree. One. One.", "No stop here", "\n".join(f"line {i}" for i in range(120)), "Füße. 😀 x. " * 3, "\n".join(f"line {i}" for i in range(20, 90)), "same. " * 40, "Tail."]
-    plain = [t or "" for t in texts]
+    monkeypatch.setattr(fingerprints, "RING", 2)
+    texts = ["One. Two.\nThree. One. One.", "", None, "One. Two.\nThree. One. One.", "No stop here", "\n".join(f"line {i}" for i in range(120)), "Füße. 😀 x. " * 3, "\n".join(f"line {i}" for i in range(20, 90)), "same. " * 40, " ".join(f"long{i}" for i in range(300)), "Tail."]
     out = {r.doc_id: r for r in fingerprints.fingerprint_report(table(spark, texts)).collect()}
-    for i, t in enumerate(plain):
-        after, half = plain[(i + 1) % len(plain)], len(t) // 2
-        edited = t[: len(t) - half] + after[:half]
-        assert (out[i].n_chars, out[i].edited_sha256) == (len(t), sha(edited))
-        assert out[i].near_edited == pytest.approx(like(t, edited)) and out[i].near_next == pytest.approx(like(t, after))
-    assert out[0].fingerprint == out[3].fingerprint != out[4].fingerprint
+    check_fingerprints([t or "" for t in texts], out)
     one = {r.doc_id: r for r in fingerprints.fingerprint(table(spark, texts)).collect()}
     assert all(one[i].fingerprint == out[i].fingerprint for i in out)
 
@@ -493,40 +516,41 @@ def test_fingerprints_on_the_smallest_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     texts = [r.text or "" for r in rows.orderBy("doc_id").collect()]
     out = fingerprints.fingerprint_report(rows).orderBy("doc_id").collect()
-    for i, r in enumerate(out):
-        after, half = texts[(i + 1) % len(texts)], len(texts[i]) // 2
-        edited = texts[i][: len(texts[i]) - half] + after[:half]
-        assert r.near_edited == pytest.approx(like(texts[i], edited)) and r.near_next == pytest.approx(like(texts[i], after))
+    check_fingerprints(texts, out)
     assert sum(r.near_edited > r.near_next for r in out) > 0.85 * len(out)
 
 
-def test_peeling_recovers_digests(spark):
-    from presswork.llm import fingerprints as P
-
-    many = [" ".join(f"{i}." for i in r) for r in (range(300), range(150, 500))]
-    df = spark.createDataFrame([("a. b. c. d.", "b. c. x."), tuple(many), ("", "y.")], "l string, r string")
-    for level in (0, 2):
-        sides = df.select(*[P.digests(P.sentences(F.col(c)), F.lit(level)).alias(x) for x, c in (("a", "l"), ("b", "r"))])
-        for r in sides.select("a", "b", P.compare(F.col("a"), F.col("b")).alias("d")).collect():
-            assert r.d.done and sorted(r.d.words) == sorted(set(r.a) ^ set(r.b))
-
-
-def test_scattered_edits_of_long_texts(spark):
+def test_peeling_recovers_digests(spark, monkeypatch):
     from presswork.llm import fingerprints as P
 
     line = [f"sentence {i} of a long text." for i in range(1600)]
     edited = [f"edited {i}." if i % 40 == 7 else s for i, s in enumerate(line)]
     word = [f"w{i}" for i in range(400)]
-    pairs = [(" ".join(line), " ".join(edited)), (" ".join(word), " ".join(word[:200] + ["new"] + word[200:])), ("same. " * 3000, "same. " * 2990), ("", "")]
+    pairs = [(" ".join(line), " ".join(edited)), (" ".join(word), " ".join(word[:200] + ["new"] + word[200:])), ("same. " * 3000, "same. " * 2990), ("", ""), ("a. b. c. d.", "b. c. x."), ("", "y."), (" ".join(f"{i}." for i in range(300)), " ".join(f"{i}." for i in range(150, 500)))]
     df = spark.createDataFrame(pairs, "l string, r string").select(P.pieces(F.col("l")).alias("a"), P.pieces(F.col("r")).alias("b"))
-    out = df.select("a", "b", P.compare_pieces(F.col("a"), F.col("b")).alias("d")).select("*", P.likeness(F.col("d"), F.col("a"), F.col("b")).alias("like")).collect()
-    for r in out:
-        assert r.d.done and len(set(r.a)) == len(r.a) and sorted(r.d.words) == sorted(set(r.a) ^ set(r.b))
-    assert out[0].like == pytest.approx(1 - 40 / 1600) and len(out[0].a) == 1600
-    assert len(out[1].a) > 5 and 0.5 < out[1].like < 1
-    assert len(out[2].a) == 3000 and len(out[2].d.words) == 10 and out[3].like == 1
-    report = {r.doc_id: r for r in P.fingerprint_report(table(spark, [pairs[0][0], pairs[0][1]])).collect()}
-    assert report[0].near_next < 0.3 and report[0].like_next == pytest.approx(1 - 40 / 1600)
+    both = df.select("a", "b", P.difference(F.col("a"), F.col("b"), P._table(F.col("a")), P._table(F.col("b"))).alias("d"), P.compare_parts(F.col("a"), F.col("b")).alias("e"))
+    for r in both.collect():
+        assert len(set(r.a)) == len(r.a) and sorted(r.d) == sorted(r.e) == sorted(set(r.a) ^ set(r.b))
+    monkeypatch.setattr(P, "ROUNDS", 1)  # hardly anything peels: the last resort
+    for r in df.select("a", "b", P.compare_parts(F.col("a"), F.col("b")).alias("d")).collect():
+        assert sorted(r.d) == sorted(set(r.a) ^ set(r.b))
+
+
+def test_any_type_of_id(spark):
+    """Ids that are no numbers have the order of their type."""
+    from presswork.llm.fingerprints import fingerprint_report
+    from presswork.llm.ngram_join import ngram_report
+    from presswork.llm.substring_dedup import substring_report
+    from presswork.llm.suffix_dedup import suffix_report
+
+    rows = [("b", PASSAGE), ("a", PASSAGE), ("c x", "other text"), (None, PASSAGE)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in substring_report(docs).collect()} == {"a": 0, "b": 60, "c x": 0, None: 60}
+    assert {r.doc_id: r.n_removed for r in suffix_report(docs).collect()}["a"] == len(PASSAGE)
+    assert {r.doc_id: r.group_id for r in ngram_report(docs).collect()} == {"a": "a", "b": "a", "c x": "c x", None: "a"}
+    edited = {r.doc_id: r.edited_sha256 for r in fingerprint_report(docs).collect()}
+    half = len(PASSAGE) // 2
+    assert edited["a"] == sha(PASSAGE[: len(PASSAGE) - half] + PASSAGE[:half]) and edited["b"] == sha(PASSAGE[: len(PASSAGE) - half] + "other text")
 
 
 # Near duplicates -----------------------------------------------------------
