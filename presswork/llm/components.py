@@ -18,14 +18,19 @@ from presswork.llm.common import materialize, release
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    hung = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    out = materialize(hung, "hung")
+    release(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
-    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    """``edges``: larger node first, as the large stars leave them."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    hung = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = materialize(hung.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+    release(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,8 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(now)
     while before[0]:
-        new = materialize(_small_star(_large_star(now)), "stars")
+        large = _large_star(now)
+        new = _small_star(large)
         release(now)
+        release(large)
         now, after = new, state(new)
         if after == before:
             break

@@ -8,12 +8,14 @@ neighbours. Classes that agree on a prefix of the present length in some tree
 are candidates; they are chained to the least of the prefix (never paired up),
 and the chains give components.
 
-The prefix begins at its full length. Candidates are compared exactly, and the
-similarities of the links found tell what share of all links this length finds:
-a link at similarity s is found with chance p(s) = 1 - (1 - s**length)**trees,
-so each one found stands for 1 / p(s). While that recall is below ``RECALL``,
-prefixes are shortened to the longest length whose estimate reaches it, and
-components that thereby changed are compared again.
+The prefix begins at its full length. The similarities of the links found tell
+what share of all links a length finds: a link at similarity s is found with
+chance p(s) = 1 - (1 - s**length)**trees, so each one found stands for 1 / p(s).
+While that recall is below ``RECALL``, prefixes are shortened to the longest
+length whose estimate reaches it. At the full length the signatures of
+neighbours in the tries say how similar they are; from then on candidates are
+compared exactly and their links say it, and components that a shorter prefix
+changes are compared again.
 
 A component of up to ``BLOCK`` classes is compared in one task, on bit sets. A
 larger one is dealt out in pairs of blocks, or trie node by trie node, whichever
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from presswork.llm import kernels as K
@@ -44,7 +46,7 @@ TREES = 30
 DEEPEST = 8
 SHORTEST = 3
 #: Share of the links that is to be found, as estimated from those found.
-RECALL = 0.99999
+RECALL = 0.9999
 #: Classes that are compared in one task, and their shingles, at most (twice as many for two blocks).
 BLOCK = 1000
 BLOCK_SHINGLES = 2_000_000
@@ -203,6 +205,51 @@ def _chain(table: pa.Table) -> pa.Table:
     return pa.table({"u": pair[0], "v": pair[1]})
 
 
+def _stars(table: pa.Table) -> pa.Table:
+    """One bucket of prefixes: the chains of :func:`_chain`, each class hung on the least it hangs together with."""
+    chain = _chain(table)
+    node, place = np.unique(np.concatenate([np.asarray(chain["u"]), np.asarray(chain["v"])]), return_inverse=True)
+    a, b = place[: len(chain)], place[len(chain) :]
+    label = np.arange(len(node))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    hung = label != np.arange(len(node))
+    return pa.table({"u": node[hung], "v": node[label[hung]]})
+
+
+def _alike(trees: int):
+    """Neighbours in a trie by the share of values that their signatures have in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_signatures_of(batch.column(c), trees).reshape(len(batch), -1).view(np.uint16) for c in ("a", "b"))
+            low = SIMILAR[0] / SIMILAR[1]
+            s = (a == b).mean(axis=1)
+            # An estimate is off by 0.026 or so at the least similarity: those a little below it count as well.
+            s = s[s >= low - 0.06]
+            many = np.bincount(np.clip(((s - low) / (1 - low) * BINS).astype(np.int64), 0, BINS - 1), minlength=BINS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS, dtype=np.int32)), pa.array(many.astype(np.int64))], ["bin", "many"])
+
+    return run
+
+
+def _neighbours(chains: DataFrame, leaves: DataFrame, trees: int) -> np.ndarray:
+    """Pairs that the tries chain (u, v), by similarity as their signatures tell."""
+    chains = chains.where("u <> v").distinct()
+    pairs = chains.join(leaves.select(F.col("node").alias("u"), F.col("keys").alias("a")), "u").join(leaves.select(F.col("node").alias("v"), F.col("keys").alias("b")), "v")
+    rows = pairs.select("a", "b").mapInArrow(_alike(trees), "bin int, many long").groupBy("bin").agg(F.sum("many").alias("many")).collect()
+    total = np.zeros(BINS, np.int64)
+    for r in rows:
+        total[r.bin] = r.many
+    return total
+
+
 def _roots(links: np.ndarray) -> np.ndarray:
     """Least linked node of each node, over any number of steps (a dense matrix of links)."""
     n = len(links)
@@ -390,10 +437,14 @@ def join_near(documents: DataFrame, trees: int = TREES, recall: float = RECALL)
     n_classes = classes.count()
     buckets = max(1, n_classes * trees // 200_000)
     leaves = classes.where(F.col("n") > 0).select("node", "keys")
-    depth, found, known = DEEPEST, None, None
+
+    def tries(depth: int) -> GroupedData:
+        return leaves.mapInArrow(_leaves(buckets, trees, depth), "bucket int, key binary, rep binary, u binary, v binary").groupBy("bucket")
+
+    depth = shorten(_neighbours(tries(DEEPEST).applyInArrow(_chain, "u long, v long"), leaves, trees), DEEPEST, trees, recall)
+    found, known = None, None
     while True:
-        messages = leaves.mapInArrow(_leaves(buckets, trees, depth), "bucket int, key binary, rep binary, u binary, v binary")
-        near = components(messages.groupBy("bucket").applyInArrow(_chain, "u long, v long"))
+        near = components(tries(depth).applyInArrow(_stars, "u long, v long"))
         shape = near.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
         shape = materialize(shape, "shape")
         if found is None:
