@@ -13,51 +13,100 @@ for each language.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswork.llm import kernels as K
 from presswork.llm.common import ship
 
 #: Entries of a profile.
 TOP = 400
 #: Texts of each language that a profile is fitted on, at most.
 FIT_ROWS = 600
-#: Languages that can be told apart, at most (bounds what is broadcast).
+#: Languages that are learned, the most frequent ones, at most (bounds what is broadcast).
 MAX_LANGUAGES = 5000
+#: Bytes of text whose n-grams are counted at once.
+PIECE_BYTES = 1 << 20
 UNKNOWN = "und"
 
-_NOT_LETTER = re.compile(r"[\W\d_]+")
 
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters: Unicode category L."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
 
-def ngrams(text: str) -> np.ndarray:
-    """Codes of all 1-, 2- and 3-grams of the lower-cased words of ``text``.
+
+def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all 1-, 2- and 3-grams of the lower-cased words of texts, and the text of each.
 
     Words are runs of letters, padded with one blank on either side; n-grams of
     blanks alone are left out. A code holds up to three code points of 21 bits.
     """
-    words = _NOT_LETTER.sub(" ", text.lower())
-    if not words.strip():
-        return np.empty(0, np.int64)
-    c = np.frombuffer(f" {words.strip()} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-    two = c[:-1] << 21 | c[1:]
-    three = two[:-1] << 21 | c[2:]
-    return np.concatenate([c[c != 32], two, three])
-
-
-def ranked(codes: np.ndarray, top: int) -> np.ndarray:
-    """The ``top`` most frequent codes, ties in the order of the codes."""
+    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    size = np.asarray(pc.utf8_length(low)).astype(np.int64)
+    n = len(size)
+    raw, _ = K.views(low)
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    # One place before and one after each text.
+    doc = np.repeat(np.arange(n), size + 2)
+    c = np.full(len(doc), 32, np.int64)
+    c[np.arange(len(points)) + 2 * np.repeat(np.arange(n), size) + 1] = points
+    letter = _letters()[c]
+    c[~letter] = 32
+    heads = np.cumsum(size + 2) - (size + 2)
+    some = np.zeros(n, bool)
+    some[doc[letter]] = True
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[heads[some]] = True
+    c, doc = c[keep], doc[keep]
+    two, own = c[:-1] << 21 | c[1:], doc[:-1] == doc[1:]
+    three, all_own = two[:-1] << 21 | c[2:], own[:-1] & own[1:]
+    return np.concatenate([c[c != 32], two[own], three[all_own]]), np.concatenate([doc[c != 32], doc[:-1][own], doc[:-2][all_own]])
+
+
+def counted(codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes of each text in order, the text of each, and how often it occurs there."""
     if not len(codes):
-        return codes
-    s = np.sort(codes)
-    edge = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    count = np.diff(np.append(edge, len(s)))
-    best = np.argsort(-count, kind="stable")[:top]
-    return s[edge][best]
+        return codes, doc, codes
+    parts = [codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF]
+    # The code points that occur, numbered in order: mostly few, so text and code fit one number.
+    seen = np.zeros(0x110000, bool)
+    for p in parts:
+        seen[p] = True
+    number = np.cumsum(seen) - 1
+    bits = max(1, int(number[-1]).bit_length())
+    if 3 * bits + int(doc.max()).bit_length() > 63:
+        order = np.lexsort((codes, doc))
+        codes, doc = codes[order], doc[order]
+    else:
+        key = doc.astype(np.int64)
+        for p in parts:
+            key = key << bits | number[p]
+        key.sort()
+        point = np.flatnonzero(seen)
+        mask = (1 << bits) - 1
+        doc = key >> 3 * bits
+        codes = point[key >> 2 * bits & mask] << 42 | point[key >> bits & mask] << 21 | point[key & mask]
+    edge = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])))
+    return codes[edge], doc[edge], np.diff(np.append(edge, len(codes)))
+
+
+def ranked(codes: np.ndarray, doc: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``top`` most frequent codes of each text, by text and rank; ties in the order of the codes."""
+    codes, doc, times = counted(codes, doc)
+    order = np.lexsort((-times, doc))
+    codes, doc = codes[order], doc[order]
+    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    best = rank < top
+    return codes[best], doc[best], rank[best]
 
 
 class Profiles:
@@ -72,18 +121,27 @@ class Profiles:
         for k, name in enumerate(self.languages):
             self.rank[k, np.searchsorted(self.codes, by_language[name])] = np.arange(len(by_language[name]))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        own = ranked(ngrams(text or ""), self.top)
+    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest language of each text (-1 for none) and its score."""
+        best, score = np.full(len(texts), -1), np.zeros(len(texts))
+        own, doc, place = ranked(*ngrams(texts), self.top)
         if not len(own) or not self.languages:
-            return UNKNOWN, 0.0
+            return best, score
         at = np.searchsorted(self.codes, own)
         at[at == len(self.codes)] = 0
         at = np.where(self.codes[at] == own, at, len(self.codes))
-        rank = self.rank[:, at]
-        away = np.abs(rank - np.arange(len(own), dtype=np.int32))
-        distance = np.where(rank == 2 * self.top, self.top, np.minimum(away, self.top)).sum(axis=1)
-        k = int(np.argmin(distance))
-        return self.languages[k], 1.0 - float(distance[k]) / (self.top * len(own))
+        begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        who, many = doc[begin], np.diff(np.append(begin, len(doc)))
+        least = np.full(len(who), np.iinfo(np.int64).max)
+        for k in range(len(self.languages)):
+            rank = self.rank[k, at]
+            away = np.where(rank == 2 * self.top, self.top, np.minimum(np.abs(rank - place), self.top))
+            distance = np.add.reduceat(away, begin)
+            nearer = distance < least
+            least[nearer] = distance[nearer]
+            best[who[nearer]] = k
+        score[who] = 1.0 - least / (self.top * many)
+        return best, score
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -96,13 +154,12 @@ def fit(documents: DataFrame, fit_rows: int = FIT_ROWS, top: int = TOP) -> Profi
     """Profiles from the texts with a language that are not held out.
 
     Each language is fitted on the ``fit_rows`` texts whose ids hash lowest
-    (all, if it has fewer). Empty input gives profiles that know no language.
+    (all, if it has fewer); of more than ``MAX_LANGUAGES`` the most frequent are
+    learned. Empty input gives profiles that know no language.
     """
     ship(documents.sparkSession)
     learn = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return Profiles({}, top)
     # A share of each language by hash, with ample margin, before anything moves; then the exact number.
@@ -113,13 +170,12 @@ def fit(documents: DataFrame, fit_rows: int = FIT_ROWS, top: int = TOP) -> Profi
     some = some.withColumn("r", rank).where(F.col("r") <= fit_rows).select("lang", "text")
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            codes: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                codes.setdefault(lang, []).append(ngrams(text))
-            for lang, parts in codes.items():
-                code, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+        for whole in frames:
+            for batch in K.pieces(whole, "text", PIECE_BYTES):
+                names = batch.column("lang").dictionary_encode()
+                codes, doc = ngrams(batch.column("text"))
+                code, lang, n = counted(codes, np.asarray(names.indices).astype(np.int64)[doc])
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(lang)), pa.array(code), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     total = some.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
@@ -134,7 +190,7 @@ def identify(documents: DataFrame, profiles: Profiles, keep: list[str] | None =
     """The columns ``keep`` of ``documents`` (all) plus ``lang_pred`` and ``score``.
 
     The prediction uses the whole text and nothing else. A text that is null or
-    has no letter gets ``und`` and 0. Of languages at the same distance the
+    has no letter (Unicode category L) gets ``und`` and 0. Of languages at the same distance the
     first by name wins. Columns that bear the new names are replaced.
     """
     ship(documents.sparkSession)
@@ -145,9 +201,11 @@ def identify(documents: DataFrame, profiles: Profiles, keep: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
-            got = [known.predict(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())], ["row", "lang_pred", "score"])
+        names = pa.array([*known.languages, UNKNOWN], pa.string())
+        for whole in batches:
+            for batch in K.pieces(whole, "text", PIECE_BYTES):
+                best, score = known.predict(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), names.take(pa.array(np.where(best < 0, len(known.languages), best))), pa.array(score)], ["row", "lang_pred", "score"])
 
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col("row").getField(c).alias(c) for c in names], "lang_pred", "score")

@@ -64,7 +64,7 @@ RULES = (
     Rule("private_key", 2, _has("PRIVATE KEY-----"), _PRIVATE),
     Rule("forge_token", 1, _has("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-"), r"(?:gh[opsur]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})"),
     Rule("chat_token", 1, _has("xox"), r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", 1, _has("eyJ"), r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
+    Rule("web_token", 2, _has("eyJ"), r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++"),
     Rule("cloud_key", 1, _has("AIza"), r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment_key", 1, _has("_live_"), r"(?:sk|rk|pk)_live_[A-Za-z0-9]{16,}"),
     Rule("url_password", 2, _has("://"), r"(?:https?|ftps?|ssh|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\x00-\x20/:@]*+:[^\x00-\x20/@]++@"),
@@ -77,7 +77,8 @@ LEDGER_SCHEMA = f"blob string, rules array<string>, findings {_FINDINGS}"
 def new_ledger(spark) -> str:
     """A place in the shared folder for an empty ledger."""
     path = f"{shared_dir(spark)}/presswork/ledger-{uuid.uuid4().hex}"
-    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(path)
+    empty = spark.range(0).select(F.from_json(F.lit("{}"), LEDGER_SCHEMA).alias("entry")).select("entry.*")
+    empty.write.mode("append").parquet(path)
     return path
 
 

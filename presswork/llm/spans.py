@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,match:string>>"
+#: Matches whose places are summed up together: a sum appends, which copies what it has.
+BLOCK = 64
 
 
 def find_all(text: Column, pattern: str | Column, keep: Callable[[Column], Column] | None = None) -> Column:
@@ -34,8 +36,19 @@ def find_all(text: Column, pattern: str | Column, keep: Callable[[Column], Colum
         more = F.array(F.struct(start.alias("start"), end.alias("end"), hit.alias("match")))
         return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], more)).otherwise(state["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(pairs, begin, step, lambda s: s["out"])
+    def join(state: Column, block: Column) -> Column:
+        at = state["at"]
+        moved = F.transform(block["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["match"].alias("match")))
+        return F.struct((at + block["at"]).alias("at"), F.when(F.size(block["out"]) > 0, F.concat(state["out"], F.array(moved))).otherwise(state["out"]).alias("out"))
+
+    def blocks(every: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+        part = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(every, k * BLOCK + 1, BLOCK), begin, step))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(part, first, join, lambda s: F.flatten(s["out"]))
+
+    # Without a match there is one gap, the text.
+    return F.element_at(F.transform(F.array(pairs), lambda p: F.when(F.size(p) <= 1, F.array().cast(SPAN)).otherwise(blocks(p))), 1)
 
 
 def gated(text: Column, gate: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:

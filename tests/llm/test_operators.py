@@ -668,6 +668,55 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, **{i: 300 for i in range(300, 330)}}
 
 
+# Linear time and letters ---------------------------------------------------
+
+
+def test_secret_rules_are_linear(spark):
+    """Every rule on a text of a megabyte made of its own beginning."""
+    import time
+
+    from presswork.llm.secrets import RULES, scan_history
+
+    starts = ["password=", "password ", "AKIA", "0a", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----", "ghp_", "glpat-", "xoxb-", "eyJ", "eyJabcdefghij.", "eyJabcdefghij.eyJ", "AIza", "sk_live_", "http://", "http://a:", "redis://:"]
+    docs = table(spark, [(s * (1 + (1 << 20) // len(s)))[: 1 << 20] for s in starts])
+    began = time.time()
+    assert scan_history(docs, rules=RULES).count() == len(starts)
+    assert time.time() - began < 90
+
+
+def test_languages_match_brute_force(spark):
+    import unicodedata
+
+    import numpy as np
+    import pyarrow as pa
+
+    from presswork.llm.language_id import Profiles, counted, ngrams, ranked
+
+    texts = ["Der Hund, die Katze!", "½ ² ① Ⅷ 123 _", None, "", "le chat noir et le chien", "a", "日本 語 " * 3, "x1y", "der der der ½ hund", " ende  "]
+
+    def grams(t):
+        low = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split()
+        if not low:
+            return Counter()
+        c = [ord(x) for x in f" {' '.join(low)} "]
+        return Counter([x for x in c if x != 32] + [x << 21 | y for x, y in zip(c, c[1:])] + [x << 42 | y << 21 | z for x, y, z in zip(c, c[1:], c[2:])])
+
+    want = [grams(t) for t in texts]
+    code, doc, n = counted(*ngrams(pa.array(texts)))
+    assert [{c: k for c, d, k in zip(code.tolist(), doc.tolist(), n.tolist()) if d == i} for i in range(len(texts))] == [dict(w) for w in want]
+    top = [sorted(w, key=lambda g: (-w[g], g))[:9] for w in want]
+    code, doc, place = ranked(*ngrams(pa.array(texts)), 9)
+    assert [[c for c, d in zip(code.tolist(), doc.tolist()) if d == i] for i in range(len(texts))] == top
+    profiles = {"de": top[0], "fr": top[4]}
+    best, score = Profiles({k: np.array(v) for k, v in profiles.items()}, 9).predict(pa.array(texts))
+    for i, own in enumerate(top):
+        if not own:
+            assert best[i] == -1 and score[i] == 0
+            continue
+        far = {k: sum(min(abs(p.index(g) - r), 9) if g in p else 9 for r, g in enumerate(own)) for k, p in profiles.items()}
+        assert ("de", "fr")[best[i]] == min(far, key=lambda k: (far[k], k)) and score[i] == pytest.approx(1 - min(far.values()) / (9 * len(own)))
+
+
 # SQL -----------------------------------------------------------------------
 
 
