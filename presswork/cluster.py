@@ -34,7 +34,9 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares, from ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests, a laptop) a local one is set once.
+    Where a local session names none (tests, a laptop) a local one is set once;
+    on a cluster executors would not see each other's files there, so that is an
+    error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -42,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="presswork-"))
     return shared_dir(spark)
 
@@ -71,10 +75,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is; none there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete what :func:`materialize` wrote for ``df``; later reads fail."""
     path = getattr(df, "_presswork_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        delete(df.sparkSession, path)

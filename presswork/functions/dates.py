@@ -1,4 +1,4 @@
-"""Dates of feeds, sitemaps and pages as instants in UTC (session zone UTC)."""
+"""Dates of feeds, sitemaps and pages as instants."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ].*)?$"
+_ZONE = r"(?:[+-]\d{1,2}(?::?\d{2}){0,2}|[A-Za-z][A-Za-z/_]+)$"
 
 
 def parse_iso(value: Column) -> Column:
-    """An ISO date or time; without a zone it is UTC, null if it is none."""
+    """An ISO date or time; without a zone it is UTC whatever the session's zone, null if it is none."""
     text = F.replace(F.trim(value), F.lit("Z"), F.lit("+00:00"))
-    return F.when(text.rlike(_ISO), text.try_cast("timestamp"))
+    midnight = F.concat(text, F.lit(" 00:00:00+00:00"))
+    zoned = F.when(F.length(text) == 10, midnight).when(F.substring(text, 12, 100).rlike(_ZONE), text).otherwise(F.concat(text, F.lit("+00:00")))
+    return F.when(text.rlike(_ISO), zoned.try_cast("timestamp"))
 
 
 def parse_feed_date(value: Column) -> Column:

@@ -14,7 +14,7 @@ from presswork.functions.urls import AGGREGATOR, article_id, canonical_url_full
 from presswork.operators.ranking import keep_first
 from presswork.schemas import ARTICLE_COLUMNS
 from presswork.sources.discovery import discover
-from presswork.sources.responses import usable
+from presswork.sources.responses import stored_usable, usable
 
 #: Image of an article that has none (a fixed value).
 DEFAULT_IMAGE = "https://upload.wikimedia.org/wikipedia/commons/thumb/4/41/Flag_of_India.svg/320px-Flag_of_India.svg.png"
@@ -71,8 +71,9 @@ def ingest(sources: DataFrame, responses: DataFrame, ingest_ts: Column, resoluti
     The raw items are written to the shared folder first: pages are fetched for
     them once, and a lost executor does not start discovery again.
     """
-    items = materialize(discover(sources, responses, resolution), "raw-items")
-    joined = with_pages(with_sources(items, sources, sources.count()), responses)
+    good = stored_usable(responses)
+    items = materialize(discover(sources, good, resolution), "raw-items")
+    joined = with_pages(with_sources(items, sources, sources.count()), good)
     articles = normalize(joined, ingest_ts)
     return keep_first(articles.withColumn("_key", F.struct("source_id", "id")), "_key", "item_pos").drop("_key")
 

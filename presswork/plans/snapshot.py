@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from presswork.cluster import materialize, release
 from presswork.operators.ranking import first_n
 from presswork.schemas import ARTICLE
 
@@ -62,7 +63,7 @@ class Snapshot:
         return self._spark.read.schema(schema).parquet(f"{self._path}/{part if there else f'empty_{part}'}")
 
     def articles(self) -> DataFrame:
-        """All stored articles, whatever their age."""
+        """All stored partitions, whatever their age; see :meth:`current` for what counts."""
         return self._read("articles", STORED)
 
     def log(self) -> DataFrame:
@@ -78,11 +79,13 @@ class Snapshot:
         The log is written last: a refresh that fails leaves its sources stale.
         """
         ids = sources.select(F.col("id").alias("source_id")).distinct()
-        stored = articles.select(*STORED.names)
-        counts = articles.groupBy("source_id").agg(F.count("*").alias("n_articles"))
-        stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(f"{self._path}/articles")
+        # Written once, so that articles and log agree whatever the fetch yields a second time.
+        stored = materialize(articles.select(*STORED.names), "fetched")
+        counts = stored.groupBy("source_id").agg(F.count("*").alias("n_articles"))
+        stored.repartition("source_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(f"{self._path}/articles")
         entries = ids.join(counts, "source_id", "left").select("source_id", fetched_at.alias("fetched_at"), F.coalesce("n_articles", F.lit(0)).cast("long").alias("n_articles"))
         entries.write.mode("append").parquet(f"{self._path}/log")
+        release(stored)
 
     def current(self) -> DataFrame:
         """Articles of sources whose last fetch had any: partitions of emptied sources do not count."""

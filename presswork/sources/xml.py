@@ -34,19 +34,17 @@ FEED = _struct(well_formed=T.BooleanType(), entries=T.ArrayType(_ENTRY))
 SITEMAP = _struct(root=_TEXT, entries=T.ArrayType(_struct(loc=_TEXT, title=_TEXT, dates=_TEXTS)))
 
 
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
-def _space(tag: str) -> str:
-    return tag[1:].partition("}")[0] if tag[:1] == "{" else ""
+def _split(tag: str) -> tuple[str, str]:
+    """Name space and name of a tag."""
+    space, _, name = tag.rpartition("}")
+    return space.lstrip("{"), name
 
 
 def _ended(body: str, wanted: tuple[str, ...]) -> Iterator[tuple[ElementTree.Element | None, bool]]:
     """Wanted elements as they end; last (None, well-formed)."""
     try:
         for _, element in ElementTree.iterparse(io.BytesIO(body.lstrip("﻿ \t\r\n").encode("utf-8", "replace")), events=("end",), parser=ElementTree.XMLParser(encoding="utf-8")):
-            if _local(element.tag) in wanted:
+            if _split(element.tag)[1] in wanted:
                 yield element, True
         yield None, True
     except ElementTree.ParseError:
@@ -66,7 +64,8 @@ def _entry(element: ElementTree.Element) -> dict:
             out[name] = value
 
     for c in element.iter():
-        name, media = _local(c.tag), _space(c.tag) == MEDIA
+        space, name = _split(c.tag)
+        media = space == MEDIA
         if media and name == "thumbnail":
             out["thumbnails"].append(c.get("url", ""))
         elif media and name == "content":
@@ -109,20 +108,55 @@ def read_feed(body: str | None) -> dict:
     return {"well_formed": well, "entries": entries}
 
 
+class _Sitemap:
+    """Target of the XML parser: collects the places of a sitemap as their elements end."""
+
+    def __init__(self) -> None:
+        self.root: str | None = None
+        self.entries: list[dict] = []
+        self._path: list[str] = []
+        self._text: list[list[str]] = []
+        self._entry: dict = {}
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        name = _split(tag)[1]
+        if self._text:
+            self._text[-1].append("")  # what follows a child is not the text of its parent
+        self._path.append(name)
+        self._text.append([])
+        if len(self._path) == 1:
+            self.root = name
+        elif len(self._path) == 2:
+            self._entry = {"loc": None, "title": "", "dates": []}
+
+    def data(self, data: str) -> None:
+        if self._text and "" not in self._text[-1]:
+            self._text[-1].append(data)
+
+    def end(self, tag: str) -> None:
+        name, depth, text = self._path.pop(), len(self._path), "".join(self._text.pop())
+        entry = self._entry
+        if depth == 2 and name == "loc" and entry["loc"] is None:
+            entry["loc"] = text
+        if depth >= 2 and text and name == "title":
+            entry["title"] = text.strip()
+        if depth >= 2 and text and name in ("publication_date", "lastmod"):
+            entry["dates"].append(text.strip())
+        if depth == 1 and entry["loc"]:
+            self.entries.append(entry | {"loc": entry["loc"].strip()})
+
+    def close(self) -> dict:
+        return {"root": self.root, "entries": self.entries}
+
+
 def read_sitemap(body: str | None) -> dict | None:
+    """Name of the root and the places it lists; None for what is no whole document."""
+    parser = ElementTree.XMLParser(target=_Sitemap(), encoding="utf-8")
     try:
-        root = ElementTree.fromstring((body or "").lstrip("﻿ \t\r\n").encode("utf-8", "replace"), parser=ElementTree.XMLParser(encoding="utf-8"))
+        parser.feed((body or "").lstrip("﻿ \t\r\n").encode("utf-8", "replace"))
+        return parser.close()
     except ElementTree.ParseError:
         return None
-    entries = []
-    for child in root:
-        loc = next((c for c in child if _local(c.tag) == "loc"), None)
-        if loc is None or not loc.text:
-            continue
-        texts = [(_local(c.tag), c.text.strip()) for c in child.iter() if c.text]
-        titles = [t for n, t in texts if n == "title"]
-        entries.append({"loc": loc.text.strip(), "title": titles[-1] if titles else "", "dates": [t for n, t in texts if n in ("publication_date", "lastmod")]})
-    return {"root": _local(root.tag), "entries": entries}
 
 
 @F.pandas_udf(FEED)

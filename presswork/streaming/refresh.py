@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from presswork.cluster import delete
 from presswork.operators.ranking import first_n
 
 #: Seconds between two refreshes.
@@ -18,8 +19,8 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, time:
     """Keep the latest row of each key of a stream in a folder of versions.
 
     Each batch writes a whole new version, named by its number, from the one
-    before: a batch that runs again writes the same version again. ``once``
-    takes what is there and ends; else a batch starts every ``PERIOD_SECONDS``.
+    before: a batch that runs again writes the same version again. The version
+    before that is deleted then, so two are kept. ``once`` takes what is there and ends; else a batch starts every ``PERIOD_SECONDS``.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -28,6 +29,8 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, time:
         if number > 0:
             new = new.unionByName(spark.read.parquet(f"{path}/version={number - 1}"))
         first_n(new, 1, [key], F.desc(time), F.desc(tie)).write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number > 1:
+            delete(spark, f"{path}/version={number - 2}")
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{PERIOD_SECONDS} seconds")).start()
