@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -14,8 +15,8 @@ from presswork.operators.filters import article_predicate
 from presswork.operators.paging import newest_page, page_math, total
 from presswork.operators.ranking import first_n, first_non_empty, keep_first
 from presswork.plans import snapshot
-from presswork.plans.articles import query_articles
-from presswork.plans.ingest import ingest, refresh_totals
+from presswork.plans.articles import article_by_id, query_articles
+from presswork.plans.ingest import DEFAULT_IMAGE, ingest, refresh_totals
 from presswork.sources import registry
 from presswork.sources.discovery import discover, from_feeds, from_sitemaps
 from presswork.streaming.refresh import upsert_stream
@@ -213,7 +214,8 @@ def article_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT id, source FROM ({_ARTICLES}) WHERE id = substr(sha256('17'), 1, 16)")
 def article_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _articles(spark, sf_dir).where(F.col("id") == urls.article_id(F.lit("17"))).limit(1).select("id", "source")
+    wanted = hashlib.sha256(b"17").hexdigest()[:16]
+    return article_by_id(_articles(spark, sf_dir), wanted).select("id", "source")
 
 
 @_query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")
@@ -339,12 +341,20 @@ def card_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", text.card_text(content, F.col("lang")).alias("shown"))
 
 
-@_query()
+# Text of a page of the test tables: paragraphs of the article end at the next one; no meta is there.
+_ARTICLE_PARTS = "list_transform(string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:], lambda x: regexp_replace(string_split(x, '</p>')[1], '(?s)<(script|style).*?</(script|style)>', '', 'g'))"
+_PLAIN = "replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+_COUNTS = "length(x) >= 40 AND NOT (" + " OR ".join(f"contains(lower(x), '{n}')" for n in text.NOISE_PHRASES) + ")"
+_PAGE = f"""SELECT page_id, url, NULL::VARCHAR AS image, NULL::VARCHAR AS description, array_to_string(list_filter(list_transform({_ARTICLE_PARTS}, lambda x: {_PLAIN}), lambda x: {_COUNTS}), chr(10) || chr(10)) AS content,
+  list_transform([regexp_extract(html, '(?s)<title>(.*?)</title>', 1)], lambda x: {_PLAIN})[1] AS title, NULL::VARCHAR AS published, false AS is_listing FROM pages"""
+
+
+@_query(f"SELECT page_id, image, description, content, title, published, is_listing FROM ({_PAGE})")
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", html.extract_page("html").alias("p")).select("page_id", "p.*")
 
 
-@_query()
+@_query("SELECT doc_id, sha256(replace(lower(trim(text)), 'ß', 'ss')) AS folded FROM documents")
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_text("text"), 256).alias("folded"))
 
@@ -385,25 +395,42 @@ def captured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return materialize(sources, "sources"), materialize(bodies.select("url", F.lit(200).alias("status"), F.lit("application/xml").alias("content_type"), "body", F.col("url").alias("final_url"), at.alias("fetched_at")), "responses")
 
 
-@_query()
+def _shown(items: DataFrame) -> DataFrame:
+    return items.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+_CRAWL = f"""SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY page_id) - 1 AS pos FROM
+  (SELECT page_id, url, page_id // 10 AS share, 's' || (page_id // 10) || '.' || {_PARTS.format(2)} AS source_id, {_is_article('url')} AS is_article FROM pages)"""
+_ITEM = "source_id, url, {title} AS title, '' AS summary, NULL::VARCHAR AS image_url, NULL::TIMESTAMP AS published_at, {rank}::INT AS strategy_rank, {pos}::INT AS item_pos"
+_FEED_ITEMS = f"SELECT {_ITEM.format(title="'Page ' || page_id", rank=0, pos='pos')} FROM ({_CRAWL}) WHERE share % 2 = 0 AND pos < 25 AND is_article"
+_SITEMAP_ITEMS = f"""SELECT {_ITEM.format(title="''", rank=1, pos='place')} FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY page_id) - 1 AS place FROM ({_CRAWL}) WHERE share % 2 = 1 AND is_article) WHERE place < 25"""
+
+
+@_query(_FEED_ITEMS)
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_feeds(*captured(spark, sf_dir))
+    return _shown(from_feeds(*captured(spark, sf_dir)))
 
 
-@_query()
+@_query(_SITEMAP_ITEMS)
 def sitemap_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sitemaps(*captured(spark, sf_dir))
+    return _shown(from_sitemaps(*captured(spark, sf_dir)))
 
 
-@_query()
+@_query(f"{_FEED_ITEMS} UNION ALL {_SITEMAP_ITEMS}")
 def discovered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discover(*captured(spark, sf_dir))
+    return _shown(discover(*captured(spark, sf_dir)))
 
 
-@_query()
+@_query(
+    f"""SELECT * EXCLUDE (r) FROM (SELECT substr(sha256(canonical), 1, 16) AS id, CASE WHEN i.title = '' THEN p.title ELSE i.title END AS title, content, '' AS summary, source_id AS source, source_id, i.url AS source_url, 'en' AS language,
+      'Telangana' AS state, '' AS district, '' AS location, TIMESTAMP '2024-01-02 00:00:00' AS published_at, '{DEFAULT_IMAGE}' AS image_url, registry_pos, item_pos,
+      row_number() OVER (PARTITION BY source_id, canonical ORDER BY item_pos) AS r
+    FROM ({_FEED_ITEMS} UNION ALL {_SITEMAP_ITEMS}) i JOIN (SELECT url, any_value(content) AS content, any_value(title) AS title FROM ({_PAGE}) GROUP BY url) p USING (url)
+    JOIN (SELECT DISTINCT url, canonical FROM ({_CANONICAL})) USING (url) JOIN (SELECT source_id, min(page_id)::INT AS registry_pos FROM ({_CRAWL}) GROUP BY source_id) USING (source_id)) WHERE r = 1"""
+)
 def ingested_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources, responses = captured(spark, sf_dir)
-    return ingest(sources, responses, F.lit("2024-01-02 00:00:00").cast("timestamp")).drop("search_text")
+    return _shown(ingest(sources, responses, F.lit("2024-01-02 00:00:00+00:00").cast("timestamp")).drop("search_text"))
 
 
 @_query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
