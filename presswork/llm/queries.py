@@ -90,5 +90,6 @@ def oracle_sql() -> dict[str, str]:
     from presswork.llm.mixing import MIXING_SQL
     from presswork.llm.ngram_join import NGRAM_SQL
     from presswork.llm.substring_dedup import SUBSTRING_SQL
+    from presswork.llm.suffix_dedup import SUFFIX_SQL
 
-    return {"op5_ngram_join": NGRAM_SQL, "op2_substring_dedup": SUBSTRING_SQL, "op3_weighted_mix": MIXING_SQL, "op7_decontaminate": CONTAMINATION_SQL}
+    return {"op9_suffix_dedup": SUFFIX_SQL, "op5_ngram_join": NGRAM_SQL, "op2_substring_dedup": SUBSTRING_SQL, "op3_weighted_mix": MIXING_SQL, "op7_decontaminate": CONTAMINATION_SQL}

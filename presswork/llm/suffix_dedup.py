@@ -69,3 +69,21 @@ def suffix_report(documents: DataFrame) -> DataFrame:
     found = dedup_suffixes(documents, keep=["doc_id"])
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same rows in DuckDB; bytes are pairs of hexadecimal digits.
+SUFFIX_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS nth, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+s AS (SELECT nth, h, unnest(generate_series(0, length(h) // 2 - 200)) AS i FROM d WHERE length(h) >= 400),
+w AS (SELECT nth, i, md5(substr(h, 2 * i + 1, 400)) AS x FROM s),
+m AS (SELECT nth, i FROM (SELECT nth, i, count(*) OVER (PARTITION BY x) AS many FROM w) WHERE many > 1),
+b AS (SELECT nth, i, coalesce(i - lag(i) OVER (PARTITION BY nth ORDER BY i) > 200, true) AS new FROM m),
+g AS (SELECT nth, i, sum(new::INT) OVER (PARTITION BY nth ORDER BY i) AS run FROM b),
+r AS (SELECT nth, run, min(i) AS low, max(i) + 200 AS high FROM g GROUP BY nth, run),
+k AS (SELECT nth, coalesce(lag(high) OVER (PARTITION BY nth ORDER BY low), 0) AS low, low AS high FROM r
+      UNION ALL SELECT nth, max(high), NULL FROM r GROUP BY nth),
+p AS (SELECT d.nth, string_agg(substr(h, 2 * k.low + 1, 2 * (coalesce(k.high, length(h) // 2) - k.low)), '' ORDER BY k.low) AS kept FROM d JOIN k USING (nth) GROUP BY d.nth),
+n AS (SELECT nth, sum(high - low) AS gone, count(*) AS runs FROM r GROUP BY nth)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN p USING (nth) LEFT JOIN n USING (nth)
+"""
