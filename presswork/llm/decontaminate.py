@@ -7,8 +7,10 @@ of the matches that are long enough. Only benchmark words have numbers: a
 suffix that starts with any other word can match nothing and is left out, and
 any other word ends a match.
 
-The benchmark travels to the executors in blocks of bounded size, one pass
-each, so a benchmark of any size works in bounded memory. Nothing is shuffled.
+The benchmark travels to the executors in blocks of bounded size; a worker
+holds one block at a time and runs a larger piece of its texts through each, so
+its memory does not grow with the number of blocks. Equal items are one item
+with several names. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -28,26 +30,27 @@ from presswork.llm.common import ship
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block (a block holds an item at least).
 BLOCK_BYTES = 16 << 20
+#: Bytes of training text in a shard, and in what runs through all blocks if there are several.
+SHARD_BYTES, PASS_BYTES = 4 << 20, 64 << 20
+
 
 class TestIndex:
     """The suffixes of one block of benchmark items, as numbers of known words."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        texts = pa.array([text for _, text in items], pa.large_string())
-        data, offsets = K.views(texts)
+        by_text: dict[str, list[str]] = {}
+        for name, text in items:
+            by_text.setdefault(text, []).append(name)
+        data, offsets = K.views(pa.array(list(by_text), pa.large_string()))
         low = K.LOWER[data]
         starts, ends, counts = K.word_spans(data, offsets, K.ALNUM)
-        words = [low[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        self.names = [name for name, _ in items]
+        #: Of each text, the ids of the items that have it.
+        self.names = list(by_text.values())
         #: Known words in the order of their hashes; number 1 is the first.
-        hashes = K.span_hashes(low, starts, ends)
-        self.hashes, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-        known = [words[i] for i in first.tolist()]
-        self.width = np.array([len(w) for w in known], np.int64)
-        if any(known[n] != w for n, w in zip(number.tolist(), words, strict=True)):
-            raise ValueError("two benchmark words share a 64-bit hash")
+        self.hashes, first, number = np.unique(K.span_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        self.width = (ends - starts)[first]
         self.tokens = number.astype(np.int32) + 1
-        item = np.repeat(np.arange(len(items)), counts)
+        item = np.repeat(np.arange(len(by_text)), counts)
         end = np.cumsum(counts)[item] if len(item) else np.empty(0, np.int64)
         #: Of each suffix: its item, its place in it and the words it has left.
         self.item = item
@@ -144,8 +147,13 @@ def search(index: TestIndex, tokens: np.ndarray, order: np.ndarray, deepest: int
     return longest, found[0], found[1]
 
 
-def scan(texts: pa.Array, index: TestIndex) -> tuple[np.ndarray, list[np.ndarray], list[list[int]], np.ndarray, list[list[tuple[int, int, int, int]]]]:
-    """Of each text: its words, the places hit, items, longest match, best match of each item."""
+def _numbers(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, .. of each range, end to end."""
+    return np.repeat(begin, many) + K.gather(many)
+
+
+def scan(texts: pa.Array, index: TestIndex, matches: bool) -> tuple[np.ndarray, list[np.ndarray], list[list[int]], list[list[tuple[int, int, int, int]]]]:
+    """Of each text: its words, the places hit, items, and (if wanted) the longest match of each item."""
     data, offsets = K.views(texts)
     low = K.LOWER[data]
     starts, ends, counts = K.word_spans(data, offsets, K.ALNUM)
@@ -158,49 +166,62 @@ def scan(texts: pa.Array, index: TestIndex) -> tuple[np.ndarray, list[np.ndarray
     head = np.cumsum(counts + 1) - (counts + 1)
     hits: list[np.ndarray] = [np.empty(0, np.int64)] * n_texts
     items: list[list[int]] = [[] for _ in range(n_texts)]
-    longest = np.zeros(n_texts, np.int64)
     best: list[list[tuple[int, int, int, int]]] = [[] for _ in range(n_texts)]
-    deepest = int(index.left.max(initial=0))
+    deepest = int(index.left.max(initial=0)) if matches else int(index.need.max(initial=0))
     order = suffix_array(stream, np.flatnonzero(stream), deepest)
-    reach, a, b = search(index, stream, order, deepest)
+    _, a, b = search(index, stream, order, deepest)
     suffix = np.flatnonzero(b > a)
     if not len(suffix):
-        return counts, hits, items, longest, best
-    many = b[suffix] - a[suffix]
-    # Equal windows of different items share a range; places are marked once for each range.
-    _, once = np.unique(np.stack([a[suffix], index.need[suffix]]), axis=1, return_index=True)
-    span = suffix[once]
-    where = order[np.repeat(a[span], many[once]) + K.gather(many[once])]
+        return counts, hits, items, best
+    # Equal windows, of one item or several, share a range of the suffix array: occurrences are listed once for each range.
+    ranges, once, which = np.unique(np.stack([a[suffix], index.need[suffix]]), axis=1, return_index=True, return_inverse=True)
+    which = which.ravel()
+    first, length = ranges
+    many = b[suffix][once] - first
+    where = order[_numbers(first, many)]
     step = np.zeros(len(stream) + 1, np.int64)
     np.add.at(step, where, 1)
-    np.add.at(step, where + np.repeat(index.need[span], many[once]), -1)
+    np.add.at(step, where + np.repeat(length, many), -1)
     hit = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-    place = order[np.repeat(a[suffix], many) + K.gather(many)]
-    who = np.repeat(suffix, many)
-    text = np.searchsorted(head, place, "right") - 1
-    # The match of each place, made as long as it goes.
-    length = index.need[who].copy()
-    padded = np.append(stream, np.zeros(deepest + 1, np.int32))
-    live = np.flatnonzero(length < index.left[who])
-    while len(live):
-        same = padded[place[live] + length[live]] == index.tokens[who[live] + length[live]]
-        live = live[same]
-        length[live] += 1
-        live = live[length[live] < index.left[who[live]]]
-    # The longest match of each text and item; of ties the first in the text.
-    rank = np.lexsort((index.place[who], place, -length, index.item[who], text))
-    t, i = text[rank], index.item[who][rank]
-    lead = np.ones(len(rank), bool)
-    lead[1:] = (t[1:] != t[:-1]) | (i[1:] != i[:-1])
-    for r in rank[lead].tolist():
-        x = int(text[r])
-        items[x].append(int(index.item[who[r]]))
-        longest[x] = max(longest[x], length[r])
-        best[x].append((int(index.item[who[r]]), int(index.place[who[r]]), int(place[r] - head[x]), int(length[r])))
     owner = np.searchsorted(head, hit, "right") - 1
-    for x in np.unique(owner).tolist():
-        hits[x] = hit[owner == x] - head[x]
-    return counts, hits, items, longest, best
+    edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    for x, part in zip(owner[edge].tolist(), np.split(hit, edge[1:]), strict=True):
+        hits[x] = part - head[x]
+    # Texts of each range and items of each range, each once; then the items of each text.
+    text = np.searchsorted(head, where, "right") - 1
+    seen = np.unique(np.repeat(np.arange(len(many)), many) * n_texts + text)
+    has = np.unique(which.astype(np.int64) * len(index.names) + index.item[suffix])
+    bound = np.searchsorted(has, np.arange(len(many) + 1) * len(index.names))
+    found: list[set[int]] = [set() for _ in range(n_texts)]
+    for r, x in zip((seen // n_texts).tolist(), (seen % n_texts).tolist(), strict=True):
+        found[x].update((has[bound[r] : bound[r + 1]] % len(index.names)).tolist())
+    for x, own in enumerate(found):
+        items[x] = sorted(own)
+    if matches:
+        _longest(index, stream, head, order, a, b, suffix, deepest, best)
+    return counts, hits, items, best
+
+
+def _longest(index: TestIndex, stream: np.ndarray, head: np.ndarray, order: np.ndarray, a: np.ndarray, b: np.ndarray, suffix: np.ndarray, deepest: int, best: list[list[tuple[int, int, int, int]]]) -> None:
+    """The longest match of each text and item, test suffix by test suffix; of ties the first in the text."""
+    padded = np.append(stream, np.zeros(deepest + 1, np.int32))
+    kept: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for s in suffix.tolist():
+        place = order[a[s] : b[s]]
+        length = np.full(len(place), index.need[s])
+        live = np.flatnonzero(length < index.left[s])
+        while len(live):
+            live = live[padded[place[live] + length[live]] == index.tokens[s + length[live]]]
+            length[live] += 1
+            live = live[length[live] < index.left[s]]
+        text = np.searchsorted(head, place, "right") - 1
+        rank = np.lexsort((place, -length, text))
+        lead = np.append(True, text[rank][1:] != text[rank][:-1])
+        for r in rank[lead].tolist():
+            key, new = (int(text[r]), int(index.item[s])), (-int(length[r]), int(place[r]), int(index.place[s]))
+            kept[key] = min(kept.get(key, new), new)
+    for (x, i), (length, place, at) in sorted(kept.items()):
+        best[x].append((i, at, place - int(head[x]), -length))
 
 
 def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
@@ -217,19 +238,21 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, s
         yield block
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, matches: bool = True) -> DataFrame:
     """The columns ``keep`` of ``documents`` (all) plus ``_found``, what the benchmark shares with the text.
 
     ``_found`` has n_words, n_hit (words inside any occurrence of a window),
     items (ids, as strings, in string order), longest (words of the longest
     match) and matches (the longest match of each item: where it begins in the
-    item and in the text, and its words). A column named ``_found`` is replaced.
+    item and in the text, and its words); the last two only if ``matches``, else
+    they are 0 and empty. A column named ``_found`` is replaced.
 
     A null or empty text has no words and no hits. An item without words never
     occurs; an item id that is null counts as ''; rows of the benchmark that
     repeat count once. Rows of ``documents`` that repeat are judged each for
     itself. With an empty benchmark nothing is hit. A word of a text is taken
-    for a benchmark word if their 64-bit hashes and lengths agree.
+    for a benchmark word if their 64-bit hashes and lengths agree; two benchmark
+    words of one hash count as one.
     """
     ship(documents.sparkSession)
     spark = documents.sparkSession
@@ -242,29 +265,35 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     arrow_place = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
     arrow_found = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("matches", pa.list_(arrow_place))])
 
-    def judge(texts: pa.Array) -> pa.Array:
+    def judge(texts: pa.Array, size: np.ndarray) -> pa.Array:
         n = len(texts)
-        hits, items = [np.empty(0, np.int64)] * n, [[] for _ in range(n)]
-        matches: list[list[dict]] = [[] for _ in range(n)]
-        counts, longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        hits: list[np.ndarray] = [np.empty(0, np.int64)] * n
+        items: list[list[str]] = [[] for _ in range(n)]
+        best: list[list[dict]] = [[] for _ in range(n)]
+        counts = np.zeros(n, np.int64)
+        shards = list(K.cuts(size, SHARD_BYTES))
         if not shared:
             counts = K.word_spans(*K.views(texts), K.ALNUM)[2]
         for one in shared:
             index = one.value
-            counts, hit, item, far, best = scan(texts, index)
-            longest = np.maximum(longest, far)
-            for x in range(n):
-                if item[x]:
-                    hits[x] = np.union1d(hits[x], hit[x])
-                    items[x] += [index.names[i] for i in item[x]]
-                    matches[x] += [{"item_id": index.names[i], "item_word": p, "doc_word": d, "n_words": k} for i, p, d, k in best[x]]
-        rows = [{"n_words": int(counts[x]), "n_hit": len(hits[x]), "items": sorted(set(items[x])), "longest": int(longest[x]), "matches": matches[x]} for x in range(n)]
+            for low, high in shards:
+                counts[low:high], hit, item, far = scan(texts[low:high], index, matches)
+                for x in range(high - low):
+                    if item[x]:
+                        hits[low + x] = np.union1d(hits[low + x], hit[x])
+                        items[low + x] += [name for i in item[x] for name in index.names[i]]
+                        best[low + x] += [{"item_id": name, "item_word": p, "doc_word": d, "n_words": k} for i, p, d, k in far[x] for name in index.names[i]]
+            if len(shared) > 1:
+                # The worker keeps what it has read of a broadcast; one block at a time is enough.
+                index = None
+                vars(one).pop("_value", None)
+        rows = [{"n_words": int(counts[x]), "n_hit": len(hits[x]), "items": sorted(set(items[x])), "longest": max((m["n_words"] for m in best[x]), default=0), "matches": best[x]} for x in range(n)]
         return pa.array(rows, arrow_found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in K.pieces(whole, "text"):
-                yield pa.RecordBatch.from_arrays([batch.column("row"), judge(batch.column("text"))], ["row", "found"])
+            for batch in K.pieces(whole, "text", PASS_BYTES if len(shared) > 1 else SHARD_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column("row"), judge(batch.column("text"), K.sizes(batch.column("text")))], ["row", "found"])
 
     out = out.mapInArrow(run, schema)
     return out.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("found").alias("_found"))
@@ -272,12 +301,12 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``documents`` without the rows that share a window with the benchmark."""
-    return find_contamination(documents, benchmark, window, block_bytes).where(F.col("_found.n_hit") == 0).drop("_found")
+    return find_contamination(documents, benchmark, window, block_bytes, matches=False).where(F.col("_found.n_hit") == 0).drop("_found")
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row of counts and digests for each document (query ``op7``)."""
-    found = find_contamination(documents, benchmark, keep=["doc_id"])
+    found = find_contamination(documents, benchmark, keep=["doc_id"], matches=False)
     f = F.col("_found")
     return found.select(
         "doc_id",

@@ -57,19 +57,28 @@ def views(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with about ``limit`` bytes of text, one row at least and ``rows`` at most."""
-    text = batch.column(column)
-    size = np.asarray(pc.fill_null(pc.binary_length(text), 0)).astype(np.int64)
+def sizes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text; a null has none."""
+    return np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+
+
+def cuts(size: np.ndarray, limit: int, rows: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``limit`` bytes, one row at least and ``rows`` at most."""
     ends = np.cumsum(size)
     at = 0
     while at < len(size):
         base = ends[at - 1] if at else 0
         to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + limit, "right"))))
-        yield batch.slice(at, to - at)
+        yield at, to
         at = to
 
 
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``limit`` bytes of text."""
+    for low, high in cuts(sizes(batch.column(column)), limit, rows):
+        yield batch.slice(low, high - low)
+
+
 def byte_class(pattern_bytes: bytes) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[list(pattern_bytes)] = True
