@@ -3,7 +3,7 @@
 A rule is a regular expression with a label, a priority and a keyword. Texts
 without any keyword are passed over; in the others only rules whose keyword is
 there are tried. Detections overlap (a notice holds a name, a name holds a
-family): one that lies inside another's interval is suppressed if the other's
+family, a text its clauses): one that lies inside another's interval is suppressed if the other's
 priority is higher, or equal with a longer interval.
 
 The base phrases are places where words stand one after the other; a word is a
@@ -149,6 +149,140 @@ NOTICES = (
     ("proprietary", "all rights reserved", r"all\W+rights\W+reserved", 20),
     ("proprietary", "confidential", r"proprietary\W+and\W+confidential", 60),
 )
+#: Clauses by which a license text is known even without its name: label, words, priority. Any white space,
+#: comment marks and punctuation may part the words; two words may stand for one as (a|b).
+CLAUSES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 95),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", 92),
+    ("mit", "the above copyright notice and this permission notice (shall|must) be included in all copies or substantial portions of the software", 90),
+    ("mit", "the software is provided as is without warranty of any kind express or implied", 60),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", 60),
+    ("x11", "except as contained in this notice the name of the x consortium shall not be used in advertising", 95),
+    ("x11", "except as contained in this notice the name of the copyright holder shall not be used in advertising or otherwise to promote the sale", 92),
+    ("mit-cmu", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted", 92),
+    ("hpnd", "appear in supporting documentation and that the name of the copyright holder not be used in advertising or publicity", 90),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 95),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software", 88),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", 96),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 92),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 90),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 90),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties", 88),
+    ("bsd", "in no event shall the copyright (holder|owner) or contributors be liable for any direct indirect incidental special exemplary or consequential damages", 86),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", 95),
+    ("bsd-3-clause", "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission", 94),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement", 96),
+    ("bsd-3-clause-clear", "no express or implied licenses to any party s patent rights are granted by this license", 95),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 96),
+    ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", 95),
+    ("apache-2.0", "terms and conditions for use reproduction and distribution", 70),
+    ("apache-2.0", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", 90),
+    ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", 90),
+    ("apache-1.1", "this product includes software developed by the apache software foundation", 92),
+    ("apache-1.1", "the names apache and apache software foundation must not be used to endorse or promote products", 94),
+    ("gpl", "is free software you can redistribute it and or modify it under the terms of the gnu general public license", 92),
+    ("gpl-2.0", "either version 2 of the license or at your option any later version", 93),
+    ("gpl-3.0", "either version 3 of the license or at your option any later version", 93),
+    ("gpl-2.0", "under the terms of the gnu general public license version 2 as published by the free software foundation", 95),
+    ("gpl", "see the gnu general public license for more details", 80),
+    ("gpl", "you should have received a copy of the gnu general public license along with", 84),
+    ("gpl-2.0", "foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa", 78),
+    ("gpl-2.0", "the licenses for most software are designed to take away your freedom to share and change it", 95),
+    ("gpl-3.0", "the gnu general public license is a free copyleft license for software and other kinds of works", 95),
+    ("gpl-3.0", "the licenses for most software and other practical works are designed to take away your freedom to share", 95),
+    ("gpl-1.0", "the license agreements of most software companies try to keep users at the mercy of those companies", 95),
+    ("lgpl", "under the terms of the gnu (lesser|library) general public license as published by the free software foundation", 93),
+    ("lgpl-2.1", "this is the first released version of the lesser gpl it also counts as the successor of the gnu library public license", 95),
+    ("lgpl-2.0", "this license the library general public license applies to some specially designated free software foundation software", 95),
+    ("lgpl-3.0", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3", 95),
+    ("agpl-3.0", "the gnu affero general public license is a free copyleft license for software and other kinds of works", 96),
+    ("agpl-3.0", "it under the terms of the gnu affero general public license as published by the free software foundation", 95),
+    ("agpl-3.0", "remote network interaction use with the gnu general public license", 92),
+    ("gpl-classpath-exception", "linking this library statically or dynamically with other modules is making a combined work based on this library", 90),
+    ("gpl-classpath-exception", "give you permission to link this library with independent modules to produce an executable", 92),
+    ("gpl-gcc-exception", "you have permission to propagate a work of target code formed by combining the runtime library with independent modules", 92),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 95),
+    ("gfdl", "with no invariant sections no front cover texts and no back cover texts a copy of the license", 90),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 96),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at the license page", 92),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", 96),
+    ("mpl-1.1", "software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language governing rights", 88),
+    ("npl-1.1", "the contents of this file are subject to the netscape public license version 1 1", 96),
+    ("epl-1.0", "the accompanying program is provided under the terms of this eclipse public license", 90),
+    ("epl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", 96),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", 96),
+    ("cpl-1.0", "the accompanying program is provided under the terms of this common public license", 94),
+    ("ipl-1.0", "the accompanying program is provided under the terms of this ibm public license", 94),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", 95),
+    ("cddl-1.0", "when distributing covered code include this cddl header in each file and include the license file", 93),
+    ("eupl-1.2", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission", 95),
+    ("eupl-1.1", "licensed under the eupl version 1 1 or as soon they will be approved by the european commission", 95),
+    ("cecill-2.1", "this software is governed by the cecill license under french law and abiding by the rules of distribution of free software", 95),
+    ("cecill-b", "this software is governed by the cecill b license under french law", 95),
+    ("cecill-c", "this software is governed by the cecill c license under french law", 95),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 94),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", 92),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 92),
+    ("libpng", "this code is released under the libpng license", 94),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", 95),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 95),
+    ("artistic-1.0", "the intent of this document is to state the conditions under which a package may be copied", 92),
+    ("artistic-2.0", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", 95),
+    ("perl", "you can redistribute it and or modify it under the same terms as perl itself this license", 90),
+    ("python-2.0", "psf is making python available to licensee on an as is basis", 94),
+    ("python-2.0", "this license agreement is between the python software foundation", 94),
+    ("php-3.01", "this product includes php software freely available from", 92),
+    ("ruby", "you may make and give away verbatim copies of the source form of the software without restriction", 92),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 95),
+    ("ssleay", "this product includes cryptographic software written by eric young", 94),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 95),
+    ("ncsa", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction", 96),
+    ("ncsa", "may be used to endorse or promote products derived from this software without specific prior written permission nor the names of its developers", 90),
+    ("w3c", "permission to copy modify and distribute this software and its documentation with or without modification for any purpose and without fee or royalty is hereby granted", 95),
+    ("unicode", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", 95),
+    ("icu", "provided that the above copyright notice s and this permission notice appear in all copies of the software", 90),
+    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 95),
+    ("libtiff", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", 94),
+    ("ijg", "this software is based in part on the work of the independent jpeg group", 94),
+    ("freetype", "portions of this software are copyright the freetype project", 92),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code", 94),
+    ("json", "the software shall be used for good not evil", 96),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff if we meet some day and you think this license", 94),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", 95),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 96),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", 92),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain", 95),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", 95),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", 94),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", 95),
+    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", 95),
+    ("cc-by-sa-3.0", "text is available under the creative commons attribution sharealike license", 92),
+    ("cc-by", "creative commons corporation is not a law firm and does not provide legal services or legal advice under this license", 80),
+    ("public-domain", "this (work|software|file) is in the public domain", 88),
+    ("public-domain", "no copyright is claimed and the work is dedicated to the public domain", 88),
+    ("public-domain", "the author disclaims copyright to this source code in place of a legal notice here is a blessing", 94),
+    ("us-government", "this software is a work of the united states government and is not subject to copyright protection", 90),
+    ("ms-pl", "if you use the software you accept this license if you do not accept the license do not use the software", 88),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", 96),
+    ("ofl-1.1", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces", 88),
+    ("bitstream-vera", "permission is hereby granted free of charge to any person obtaining a copy of the fonts accompanying this license", 94),
+    ("odbl-1.0", "made available under the open database license", 92),
+    ("odc-by-1.0", "made available under the open data commons attribution license", 94),
+    ("pddl-1.0", "made available under the public domain dedication and license", 94),
+    ("afl-3.0", "licensed under the academic free license version 3 0", 95),
+    ("osl-3.0", "licensed under the open software license version 3 0", 95),
+    ("upl-1.0", "subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software", 92),
+    ("bsl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 95),
+    ("sspl-1.0", "if you make the functionality of the program or a modified version available to third parties as a service under this license", 92),
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service", 95),
+    ("commons-clause", "the grant of rights under the license will not include and the license does not grant to you the right to sell the software", 95),
+    ("polyform-nc", "any noncommercial purpose is a permitted purpose the software", 88),
+    ("proprietary", "no part of this (publication|software|document) may be reproduced without the prior written permission", 80),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential", 90),
+    ("proprietary", "this software is the confidential and proprietary information of", 90),
+    ("proprietary", "licensed for personal and non commercial use only", 70),
+    ("eula", "by installing or using the software you agree to be bound by the terms of this license agreement", 85),
+)
 #: How a license is named in a notice: pattern around the name, priority.
 FORMS = (
     (r"(?:licen[sc]ed|released|distributed|available|provided|published|covered)\W+under\W+(?:the\W+)?(?:terms\W+of\W+)?(?:the\W+)?{name}(?:\W+licen[sc]e)?", 80),
@@ -173,11 +307,16 @@ def rules() -> list[tuple[str, str, str, int]]:
     for label, keyword, name in SHORT:
         for form, priority in SHORT_FORMS:
             out.append((label, keyword, rf"(?i)(?<!\w){form.replace('{name}', f'(?:{name})')}", priority + (5 if re.search(r"\.[0-9]$", label) or label[-1].isdigit() else 0)))
+    for label, words, priority in CLAUSES:
+        plain = words.split()
+        # The words up to the first choice are the keyword: as good as the rule itself.
+        fixed = plain[: next((k for k, w in enumerate(plain) if "(" in w), len(plain))]
+        out.append((label, " ".join(fixed), r"(?i)(?<!\w)" + r"\W+".join(w.replace("(", "(?:") for w in plain) + r"(?!\w)", priority))
     return out + [(label, keyword, rf"(?i)(?<!\w){pattern}", priority) for label, keyword, pattern, priority in NOTICES]
 
 
 #: Every match of a rule holds one of these, or what ``_UNDER`` finds.
-GATE = ("licen", "permission", "redistribution", "endorse", "software", "as-is", "domain", "unencumbered", "reserved", "confidential")
+GATE = ("licen", "permission", "redistribution", "endorse", "software", "as-is", "domain", "unencumbered", "reserved", "confidential", "copyright", "warrant", "conditions", "foundation", "advertising", "library")
 _STEMS = "|".join(sorted({k.split()[0] for _, k, _ in SHORT} | {"[234]", "two", "three", "four"}))
 _UNDER = rf"[de]\W+under|(?<!\w)under\W+(?:an?\W+|the\W+)?(?:terms\W+of\W+)?(?:the\W+)?(?:{_STEMS})"
 _PHRASE = rf"(?i)(?<!{_W})(?:" + "|".join(rf"{_S}++".join(p.split()) for p in PHRASES) + rf")(?!{_W})"

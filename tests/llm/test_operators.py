@@ -244,6 +244,21 @@ def test_licenses_are_found_in_wrapped_text(spark):
         assert list(wrapped.values())[r.doc_id] in [d.label for d in r.detections], r.text
 
 
+def test_every_clause_is_found_however_it_is_wrapped(spark):
+    from presswork.llm.licenses import CLAUSES, GATE, find_licenses
+
+    texts = []
+    for k, (_, words, _) in enumerate(CLAUSES):
+        plain = re.sub(r"\((\w+)\|[^)]*\)", r"\1", words)
+        assert any(g.replace("-", " ") in plain for g in GATE), words
+        texts.append(re.sub(" ", lambda m, n=iter(range(999)): ("\n * ", " ", ",  ", "\n# ")[next(n) % 4], plain.upper() if k % 2 else plain))
+    for r in find_licenses(table(spark, texts)).collect():
+        assert r.detections and max(d.priority for d in r.detections) >= CLAUSES[r.doc_id][2]
+        best = [d for d in r.detections if (d.label, d.priority) == (CLAUSES[r.doc_id][0], CLAUSES[r.doc_id][2])]
+        covered = [d for d in r.detections if d.priority > CLAUSES[r.doc_id][2]]
+        assert best or covered, texts[r.doc_id]
+
+
 def test_licenses_by_their_short_names(spark):
     from presswork.llm.licenses import find_licenses
 
