@@ -33,24 +33,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node only, and that on none: one pass, no join."""
+    hangs = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    holds = edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    role = hangs.union(holds).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return role.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (u, v: long); the root is the least node.
 
-    Loops and repeated edges are harmless; no edges give no rows.
+    Loops and repeated edges are harmless; no edges give no rows. Rounds go on
+    until every node hangs on its root.
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = state(now)
-    while before[0]:
+    while not _settled(now):
         large = _large_star(now)
         new = _small_star(large)
         release(now)
         release(large)
-        now, after = new, state(new)
-        if after == before:
-            break
-        before = after
+        now = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

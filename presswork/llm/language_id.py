@@ -33,7 +33,7 @@ FIT_ROWS = 600
 #: Languages that are learned, the most frequent ones, at most (bounds what is broadcast).
 MAX_LANGUAGES = 5000
 #: Bytes of text whose n-grams are counted at once.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 UNKNOWN = "und"
 
 
@@ -78,7 +78,7 @@ def counted(codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return codes, doc, codes
     parts = [codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF]
     # The code points that occur, numbered in order: mostly few, so text and code fit one number.
-    seen = np.zeros(0x110000, bool)
+    seen = np.zeros(1 + max(int(p.max()) for p in parts), bool)
     for p in parts:
         seen[p] = True
     number = np.cumsum(seen) - 1
@@ -102,11 +102,14 @@ def counted(codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def ranked(codes: np.ndarray, doc: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``top`` most frequent codes of each text, by text and rank; ties in the order of the codes."""
     codes, doc, times = counted(codes, doc)
-    order = np.lexsort((-times, doc))
-    codes, doc = codes[order], doc[order]
-    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    if not len(doc):
+        return codes, doc, doc
+    order = np.argsort((doc << 32) - times, kind="stable")
+    # Texts are in order already, so theirs are the same places.
+    begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    rank = np.arange(len(doc)) - np.repeat(begin, np.diff(np.append(begin, len(doc))))
     best = rank < top
-    return codes[best], doc[best], rank[best]
+    return codes[order[best]], doc[best], rank[best]
 
 
 class Profiles:
