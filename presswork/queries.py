@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from presswork.cluster import materialize, shared_dir, ship
 from presswork.functions import geo, html, text, urls
+from presswork.functions.dates import parse_feed_date, parse_iso
 from presswork.operators.filters import article_predicate
 from presswork.operators.paging import newest_page, page_math, total
 from presswork.operators.ranking import first_n, first_non_empty, keep_first
@@ -433,6 +435,88 @@ def ingested_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(ingest(sources, responses, F.lit("2024-01-02 00:00:00+00:00").cast("timestamp")).drop("search_text"))
 
 
+@_query(f"SELECT id, name, state, language, active, registry_pos::INT AS registry_pos FROM ({_NATIONS})")
+def registry_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations as a registry file, read, forgotten and read again."""
+    rows = [r.asDict() for r in _nations(spark, sf_dir).orderBy("registry_pos").drop("registry_pos").collect()]
+    path = f"{shared_dir(spark)}/presswork/registry-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(rows),)], "value string").coalesce(1).write.text(path)
+    held = registry.Registry(spark, path)
+    held.sources()
+    held.reload()
+    return held.sources().select("id", "name", "state", "language", "active", "registry_pos")
+
+
+#: Places as texts name them, and the district each stands for; the last is none.
+_NAMED = (("Warangal", "Warangal"), ("HYDERABAD", "Hyderabad"), ("bhongir", "Yadadri"), ("Chennai", ""))
+_NAMED_SQL = "CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN '{{}}'".replace("{}", d) for k, (_, d) in enumerate(_NAMED)) + " END"
+
+
+@_query(f"SELECT doc_id, state, district, district AS location FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Kerala' ELSE 'Andhra Pradesh & Telangana' END AS state, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_NAMED_SQL} END AS district FROM documents)")
+def resolved_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the name of a place before it, of a source that the gazetteer covers or not."""
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in _NAMED]), (F.col("doc_id") % 4 + 1).cast("int"))
+    state = F.when(F.col("doc_id") % 3 == 0, "Kerala").otherwise("Andhra Pradesh & Telangana")
+    place = geo.resolve_location(state, F.concat(F.lit("In "), name, F.lit(", a report")))
+    return _table(spark, sf_dir, "documents").select("doc_id", place.alias("p")).select("doc_id", "p.*")
+
+
+@_query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'te' WHEN 1 THEN 'hi' ELSE 'en' END AS detected FROM documents")
+def script_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts in Telugu, in Devanagari, in Latin with one word of Telugu among ninety letters, and without letters."""
+    k = F.col("doc_id") % 4
+    words = F.when(k == 0, "\u0c24\u0c46\u0c32\u0c41\u0c17\u0c41 news").when(k == 1, "\u0939\u093f\u0928\u094d\u0926\u0940 news").when(k == 2, F.concat(F.lit("\u0c24\u0c46\u0c32"), F.repeat(F.lit("latin "), F.lit(18)))).otherwise("12 34")
+    return _table(spark, sf_dir, "documents").select("doc_id", text.detect_language(words).alias("detected"))
+
+
+@_query(
+    """SELECT o_orderkey, d AS with_zone, d - INTERVAL 330 MINUTES AS with_offset, d AS without_zone, date_trunc('day', d) AS day_only, d AS of_feed, NULL::TIMESTAMP AS none FROM (SELECT o_orderkey, date_trunc('day', o_orderdate) + to_seconds(o_orderkey % 86400) AS d FROM orders)"""
+)
+def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written the ways that sitemaps, pages and feeds write them."""
+    at = F.date_trunc("day", F.col("o_orderdate")).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("o_orderkey") % 86400).cast("decimal(18,6)"))
+    iso = F.date_format(at.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", iso.alias("iso"), at.cast("date").cast("string").alias("day"), F.date_format(at, "EEE, d MMM yyyy HH:mm:ss").alias("feed"))
+    made = {"with_zone": parse_iso(F.concat("iso", F.lit("Z"))), "with_offset": parse_iso(F.concat("iso", F.lit("+05:30"))), "without_zone": parse_iso(F.col("iso")), "day_only": parse_iso(F.col("day")), "of_feed": parse_feed_date(F.concat("feed", F.lit(" GMT"))), "none": parse_iso(F.lit("soon"))}
+    return rows.select("o_orderkey", *[c.cast("timestamp_ntz").alias(n) for n, c in made.items()])
+
+
+@_query(f"SELECT page_id, scheme_host || '/a/b?x=1' AS rooted, url AS whole, scheme_host || '/c' AS up FROM (SELECT page_id, url, {_PARTS.format(1)} || '://' || {_PARTS.format(2)} AS scheme_host FROM pages)")
+def resolved_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", urls.resolve_url("url", F.lit("/a/b?x=1")).alias("rooted"), urls.resolve_url(F.lit("https://other.test/"), "url").alias("whole"), urls.resolve_url("url", F.lit("/d/../c")).alias("up"))
+
+
+@_query("SELECT source, doc_id FROM (SELECT 's' || (doc_id % 10) AS source, doc_id, doc_id % 10 AS k FROM documents) WHERE (k < 4 AND doc_id % 20 >= 10) OR (k BETWEEN 4 AND 6 AND doc_id % 20 < 10)")
+def snapshot_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten sources stored at noon, three again at one; then all but s7 to s9 asked for at five past one.
+
+    Those of noon (s0 to s3) are stale by then and are fetched, from other
+    documents; s4 to s6 are fresh and come as stored. A second request fetches
+    nothing, and a cleared snapshot has nothing.
+    """
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), F.col("doc_id") % 10).alias("source_id"), "doc_id")
+    blank = [F.lit("").alias(n) for n in ("title", "content", "summary", "source_url", "language", "state", "district", "location", "image_url", "search_text")]
+    at = lambda t: F.lit(f"2024-01-01 {t}+00:00").cast("timestamp")
+
+    def articles(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").cast("string").alias("id"), F.col("source_id").alias("source"), "source_id", at("00:00:00").alias("published_at"), F.lit(0).alias("registry_pos"), F.col("doc_id").cast("int").alias("item_pos"), *blank)
+
+    sources = spark.range(10).select(F.concat(F.lit("s"), "id").alias("id"))
+    held = snapshot.Snapshot(spark, f"{shared_dir(spark)}/presswork/snapshot-{uuid.uuid4().hex}")
+    old, new = articles(docs.where("doc_id % 20 < 10")), articles(docs.where("doc_id % 20 >= 10"))
+    held.put(sources, old, at("12:00:00"))
+    late = sources.where("id IN ('s4', 's5', 's6')")
+    held.put(late, old.join(late.select(F.col("id").alias("source_id")), "source_id", "left_semi"), at("13:00:00"))
+    asked = sources.where("id < 's7'")
+    fetched = lambda stale: new.join(stale.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    held.get_or_fetch(asked, at("13:05:00"), fetched)
+    again = held.get_or_fetch(asked, at("13:06:00"), lambda stale: old.limit(0))
+    out = materialize(again.select("source", F.col("item_pos").cast("long").alias("doc_id")), "cycle")
+    held.clear()
+    return out.unionByName(held.current().select("source", F.col("item_pos").cast("long").alias("doc_id")))
+
+
 @_query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as a stream, kept by user; ends when all of them are in."""

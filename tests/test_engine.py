@@ -345,3 +345,63 @@ def test_streams(spark, sf, tmp_path):
 def test_captured_pages_can_be_read(spark, sf):
     rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
     assert sum(bool(page(r.html)["content"]) for r in rows) > len(rows) // 2 and all(page(r.html)["title"] for r in rows)
+
+
+def test_live_fetch_of_a_table_of_urls(spark):
+    """A local server: declared, undeclared and wrong charsets, an error page, a port where nobody listens."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from presswork.sources.responses import fetch_all, usable
+
+    pages = {"/utf": ("text/html; charset=utf-8", "é".encode()), "/none": ("text/html", "é".encode()), "/latin": ("text/html", "é".encode("latin-1")), "/wrong": ("text/html; charset=nonsense", "é".encode())}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            kind, body = pages.get(self.path, ("text/html", b"gone"))
+            self.send_response(200 if self.path in pages else 404)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        wanted = [(f"{base}{p}",) for p in (*pages, "/lost", "/utf")] + [("http://127.0.0.1:9/",), ("no url",)]
+        got = fetch_all(spark.createDataFrame(wanted, "url string"), shares=3, timeout=5).collect()
+    finally:
+        server.shutdown()
+    by = {r.url.removeprefix(base): r for r in got}
+    assert len(got) == 7 and all(by[p].status == 200 and by[p].body == "é" for p in pages)
+    assert by["/lost"].status == 404 and by["http://127.0.0.1:9/"].status is None and by["no url"].body is None
+    assert usable(spark.createDataFrame(got)).count() == 4
+
+
+def test_robots_lines_lose_any_white_space(spark):
+    from presswork.sources.discovery import sitemap_candidates
+    from presswork.sources.responses import stored_usable
+
+    sources = spark.createDataFrame([("a", "https://a.test/")], "id string, base_url string")
+    good = stored_usable(spark.createDataFrame([("https://a.test/robots.txt", "text/plain", "User-agent: *\nSitemap:\thttps://a.test/m.xml \nSITEMAP:https://a.test/n.xml")], "url string, content_type string, body string"))
+    found = [r.url for r in sitemap_candidates(sources, good).orderBy("cand_rank").collect()]
+    assert found[:2] == ["https://a.test/m.xml", "https://a.test/n.xml"]
+
+
+def test_dates_without_a_zone_are_utc_in_any_session(spark):
+    import datetime as dt
+
+    from presswork.functions.dates import parse_iso
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        rows = spark.createDataFrame([("2024-05-01",), ("2024-05-01T10:20:30",), ("2024-05-01 10:20",), ("2024-05-01T10:20:30Z",), ("2024-05-01T10:20:30+05:30",), ("2024-05-01T10:20:30.5-0100",), ("soon",)], "t string")
+        got = [r.s for r in rows.select(parse_iso(F.col("t")).cast("double").alias("s")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    noon = lambda *a: dt.datetime(2024, 5, 1, *a, tzinfo=dt.timezone.utc).timestamp()
+    assert got == [noon(), noon(10, 20, 30), noon(10, 20), noon(10, 20, 30), noon(4, 50, 30), noon(11, 20, 30) + 0.5, None]
