@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.llm.common import LAST, numbered
+from presswork.llm.common import LAST, materialize, numbered
 
 #: Cells of a fingerprint (a multiple of 3).
 CELLS = 24
@@ -220,8 +220,9 @@ def with_next(rows: DataFrame) -> DataFrame:
     within = Window.partitionBy("range").orderBy("id", "turn", "text")
     rows = rows.withColumn("after", F.lead(F.struct("text")).over(within))
     firsts = rows.withColumn("nth", F.row_number().over(within)).where("nth = 1").select("range", F.col("text").alias("first_text"))
+    firsts = materialize(firsts, "firsts")
     # The range that follows: inside a block of ranges, then the first of the next block.
-    ranges = rows.select("range").distinct().withColumn("block", F.floor(F.col("range") / RING))
+    ranges = firsts.select("range", F.floor(F.col("range") / RING).alias("block"))
     order = Window.orderBy("block")
     blocks = ranges.groupBy("block").agg(F.min("range").alias("head"))
     blocks = blocks.select("block", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("next_head"))
