@@ -687,13 +687,13 @@ def test_components(spark):
 
 
 def test_secret_rules_are_linear(spark):
-    """Every rule on a text of a megabyte made of its own beginning."""
+    """Every rule on a long text made of its own beginning: squares would take minutes."""
     import time
 
     from presswork.llm.secrets import RULES, scan_history
 
     starts = ["password=", "password ", "AKIA", "0a", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----", "ghp_", "glpat-", "xoxb-", "eyJ", "eyJabcdefghij.", "eyJabcdefghij.eyJ", "AIza", "sk_live_", "http://", "http://a:", "redis://:"]
-    docs = table(spark, [(s * (1 + (1 << 20) // len(s)))[: 1 << 20] for s in starts])
+    docs = table(spark, [(s * (1 + (1 << 18) // len(s)))[: 1 << 18] for s in starts])
     began = time.time()
     assert scan_history(docs, rules=RULES).count() == len(starts)
     assert time.time() - began < 90
