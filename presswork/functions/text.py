@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Phrases of paragraphs that are not part of an article (fixed values).
 NOISE_PHRASES = ("subscribe", "follow us", "advertisement", "also read", "read more", "click here", "download app", "all rights reserved", "copyright", "share this", "whatsapp", "facebook", "twitter")
+#: The blanks of Unicode (category Zs): no tabs, no ends of lines.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Characters of the shortest paragraph that counts.
 SHORTEST_PARAGRAPH = 40
 #: Share of letters from which a script decides the language.
@@ -28,6 +30,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def trim_blanks(c: Column) -> Column:
+    """Without blanks at both ends; tabs and ends of lines stay."""
+    return F.trim(c, F.lit(BLANKS))
+
+
 def contains_folded(haystack: Column, needle: str) -> Column:
     """Whether the trimmed needle occurs, case aside; a null haystack is ''."""
     return F.contains(F.lower(F.coalesce(haystack, F.lit(""))), F.lit(needle.strip().lower()))
