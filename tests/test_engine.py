@@ -17,6 +17,7 @@ from presswork.plans.ingest import DEFAULT_IMAGE, ingest, refresh_totals
 from presswork.schemas import ARTICLE_COLUMNS, RESPONSE, SOURCE
 from presswork.sources import discovery as D
 from presswork.sources import registry as R
+from presswork.sources import xml
 from presswork.streaming.refresh import read_version, refresh_periodically, upsert_stream, windowed_counts
 
 NOW = dt.datetime(2026, 9, 9, 8, 30)
@@ -193,6 +194,30 @@ def test_sitemaps(spark, sources):
     assert D.from_sitemaps(sources, responses(spark, many)).count() == 25
 
 
+def test_only_what_is_named_is_parsed_and_once(spark, sources, monkeypatch):
+    """Spark must not push the parser below the join that chooses documents, where it would read every page."""
+    plans = []
+
+    def plan_of(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(D, "materialize", lambda df, name, write=D.materialize: write(plan_of(df), name))
+    crawl = responses(spark, {"https://one.test/": HOME, "https://one.test/feed.xml": rss((article(1), "A", "")), "https://two.test/sitemap.xml": urlset(article(2))})
+    assert ids(plan_of(D.from_feeds(sources, crawl)), "url") == [article(1)]
+    assert ids(plan_of(D.from_sitemaps(sources, crawl)), "url") == [article(2)]
+    for parser, times in (("parse_feed(", 1), ("parse_sitemap(", D.MAX_DEPTH + 1)):
+        assert sum(p.count(parser) for p in plans) == times
+        assert all(p.index(parser) < p.index("Join Inner") for p in plans if parser in p)  # plans begin with their last step
+
+
+def test_many_documents_are_parsed_in_pieces(spark):
+    n = 2 * xml.PIECE + 1
+    made = spark.range(0, n, 1, 1).select("id", F.concat(F.lit("<rss><item><link>l"), "id", F.lit("</link></item></rss>")).alias("feed"), F.concat(F.lit("<urlset><url><loc>l"), "id", F.lit("</loc></url></urlset>")).alias("map"))
+    got = made.select("id", xml.parse_feed("feed").alias("f"), xml.parse_sitemap("map").alias("m")).select("id", "f.entries.link", "m.entries.loc").collect()
+    assert len(got) == n and all(r.link == r.loc == [f"l{r.id}"] for r in got)
+
+
 def test_home_page_links(spark, sources):
     links = "".join(f'<a href="{article(i % 30)}">T <b>{i}</b></a>' for i in range(60)) + '<a href="/tag/xx-long-headline">x</a>'
     got = D.from_home_pages(sources, responses(spark, {"https://one.test/": f'<a href="/about">x</a>{links}'})).orderBy("item_pos").collect()
